@@ -12,7 +12,6 @@ Hashes have 64 bits; two different windows share one with a chance of 2**-64 a p
 
 from __future__ import annotations
 
-import hashlib  # noqa: F401  (used by callers that digest kept text)
 import math
 
 import numpy as np
@@ -29,7 +28,7 @@ BLOCK = 1 << 21
 BUCKET_BYTES = 4 << 20
 
 _SENT = "bucket int, spread boolean, hashes binary, ids binary"
-_FOUND = "doc_id long, hashes binary"
+_FOUND = "doc_id long, hash long"
 
 
 def _pack_ids(ids: np.ndarray) -> bytes:
@@ -91,17 +90,8 @@ def _send(width: int, buckets: int):
 
 
 def _found(ids: np.ndarray, h: np.ndarray) -> pa.Table:
-    """A row for each id, with the hashes of its repeated windows."""
-    order = np.argsort(ids, kind="stable")
-    ids, h = ids[order], np.ascontiguousarray(h[order])
-    cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.empty(0, np.int64)
-    ends = np.r_[cut[1:], len(ids)]
-    offsets = np.r_[cut, len(ids)].astype(np.int64) * 8 if len(ids) else np.zeros(1, np.int64)
-    if offsets[-1] < 2**31 - 1:
-        blobs = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(h.tobytes())])
-    else:
-        blobs = pa.array([h[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary())
-    return pa.table({"doc_id": pa.array(ids[cut], pa.int64()), "hashes": blobs})
+    """A row for each repeated window: its document and its hash."""
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "hash": pa.array(h.view(np.int64), pa.int64())})
 
 
 def _bucket(rows: pa.Table) -> pa.Table:
@@ -127,17 +117,18 @@ _KEPT = "doc_id long, n_words long, n_removed long, spans array<struct<start:lon
 def _remove(width: int):
     def run(batches):
         for batch in batches:
-            ids, texts, marks = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
+            ids, texts, marks = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            cuts, marks = marks.offsets.to_numpy(), marks.values.to_numpy().view(np.uint64)
             buf, bounds = rolling.text_buffer(texts)
             out = []
             for i, doc in enumerate(ids):
                 raw = buf[bounds[i] : bounds[i + 1]].tobytes()
                 words = raw.split()
                 spans = []
-                if marks[i]:
+                if cuts[i] < cuts[i + 1]:
                     v, c = rolling.word_hashes(buf, bounds[i : i + 2])
                     h, _ = rolling.window_hashes(v, c, width)
-                    at = np.flatnonzero(np.isin(h, np.frombuffer(b"".join(marks[i]), np.uint64)))
+                    at = np.flatnonzero(np.isin(h, marks[cuts[i] : cuts[i + 1]]))
                     if len(at):
                         new = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + width])
                         spans = [(int(at[s]), int(at[e - 1]) + width) for s, e in zip(new, np.r_[new[1:], len(at)], strict=True)]
@@ -184,8 +175,8 @@ def remove_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col
     marks = materialize(found, "windows")
     marked = materialize(marks.select(F.col("doc_id").alias("_id")).distinct(), "window-ids")
     side = checked_broadcast(marked)
-    by_doc = marks.groupBy("doc_id").agg(F.collect_list("hashes").alias("marks"))
-    clean = keyed.join(side, keyed["doc_id"] == F.col("_id"), "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"))
+    by_doc = marks.groupBy("doc_id").agg(F.collect_list("hash").alias("marks"))
+    clean = keyed.join(side, keyed["doc_id"] == F.col("_id"), "left_anti").select("doc_id", "text", F.array().cast("array<bigint>").alias("marks"))
     touched = keyed.join(side, keyed["doc_id"] == F.col("_id"), "left_semi").join(by_doc, "doc_id").select("doc_id", "text", "marks")
     kept = clean.unionByName(touched).mapInArrow(_remove(width), _KEPT)
     return kept.withColumn("doc_id", F.when(F.col("doc_id") < (1 << 63) - 1, F.col("doc_id")))
