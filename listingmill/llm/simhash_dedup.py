@@ -129,19 +129,28 @@ def near_pairs(nodes: DataFrame, hot: int = HOT) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, label): for every node of the links (a, b), the smallest node it can reach.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so
-    the rounds grow with the logarithm of the longest chain. Labels are written each round.
+    Each round points every node to the smallest of its neighbours and itself, follows that
+    pointer once more, and contracts the links to the nodes pointed to. Links inside a group
+    vanish with its first rounds, so dense groups are not joined again and again; the smallest
+    node of a group points to itself throughout and is what remains. Every round is written.
     """
-    edges = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
-    while True:
-        best = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("best"))
-        lower = materialize(labels.join(best, labels["node"] == best["a"]).select("node", F.col("label").alias("old"), F.least("label", "best").alias("label")), "labels")
-        over = lower.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        jumped = materialize(lower.join(over, lower["label"] == over["_n"]).select("node", "old", F.least("label", "_l").alias("label")), "labels")
-        labels = jumped.select("node", "label")
-        if jumped.where("label <> old").limit(1).count() == 0:
-            return labels
+    edges = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
+    while edges.limit(1).count():
+        low = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
+        ends = edges.select(F.col("a").alias("node"), F.col("a").alias("to"))
+        points = materialize(low.unionByName(ends).groupBy("node").agg(F.min("to").alias("to")), "points")
+        over = points.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+        points = materialize(points.join(over, points["to"] == over["_n"]).select("node", F.col("_t").alias("to")), "points")
+        end_a, end_b = points.select(F.col("node").alias("a"), F.col("to").alias("a2")), points.select(F.col("node").alias("b"), F.col("to").alias("b2"))
+        moved = edges.join(end_a, "a").join(end_b, "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        edges = materialize(moved.distinct(), "edges")
+        if labels is None:
+            labels = points.select("node", F.col("to").alias("label"))
+        else:
+            new = points.select(F.col("node").alias("_n"), F.col("to").alias("_t"))
+            labels = materialize(labels.join(new, labels["label"] == new["_n"], "left").select("node", F.coalesce("_t", "label").alias("label")), "labels")
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, hot: int = HOT) -> DataFrame:
