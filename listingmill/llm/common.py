@@ -54,7 +54,8 @@ def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataF
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (rows with a null id stay)."""
     gone = materialize(ids.select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct(), "gone")
-    return docs.join(checked_broadcast(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    side = checked_broadcast(gone)
+    return docs.join(side, docs[id_col] == side["_gone"], "left_anti")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -83,7 +83,7 @@ def _write(folder: str, dict_bytes: bytes, archive_bytes: int, date: str, level:
                 if out is None:
                     # a name of its own for each attempt: a task that is run again never writes where another did
                     name, size, n = f"{uuid.uuid4().hex}.warc.zst", len(head), 0
-                    out = files.open_output_stream(f"{base}/{name}")
+                    out = files.open_output_stream(f"{base}/{name}", compression=None)  # the name alone would compress it once more
                     out.write(head)
                 data = pack(record(page_id, url or "", html.encode(), digest, refers_to, date))
                 out.write(data)
@@ -156,7 +156,7 @@ def read_archive(uri: str):
     import zstandard as z
 
     files, path = _open(uri)
-    with files.open_input_stream(path) as f:
+    with files.open_input_stream(path, compression=None) as f:
         magic, size = struct.unpack("<II", f.read(8))
         if magic != DICTIONARY_FRAME:
             raise ValueError("no dictionary in front")
