@@ -28,6 +28,6 @@ def test_sampling_meets_targets_in_expectation(spark):
 
 
 def test_topics_and_empty(spark, empty):
-    df = spark.createDataFrame([("a | b | c |",), ("#### $$$$ word",), ("LOUD WORDS here",), ("plain words",), (None,)], "text string")
+    df = spark.createDataFrame([("a | b | c |",), ("#### $$$$ word",), ("LOUD!! WORDS!! here",), ("plain words",), (None,)], "text string")
     assert [r[0] for r in df.select(mixing.topic_of(df.text)).collect()] == ["table", "symbols", "shouting", "prose", "prose"]
     assert mixing.mix_sources(empty).count() == 0
