@@ -43,7 +43,7 @@ def _tokens(s, d):
 @query(
     "match_pursuit_deal",
     f"""WITH {_D}, c AS (SELECT id, title, concat_ws(' ', url, ext_id, title) AS hay, last_seen FROM deals WHERE stage IN ('inbox', 'shortlist', 'contacted', 'nda', 'cim', 'call', 'loi', 'diligence', 'offer') ORDER BY last_seen DESC, id LIMIT 2000),
-e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(200000 + event_id AS STRING) END AS number, CASE WHEN event_id % 2 = 1 THEN CASE event_id % 3 WHEN 0 THEN 'Legionella and Water Testing Lab' WHEN 1 THEN 'Contract Janitorial' ELSE 'nothing like that' END ELSE 'Re' END AS cue FROM events WHERE event_id < 1500),
+e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(200000 + event_id AS STRING) END AS number, CASE WHEN event_id % 2 = 1 THEN CASE event_id % 3 WHEN 0 THEN 'Legionella and Water Testing Lab' WHEN 1 THEN 'Contract Janitorial' ELSE 'nothing like that' END ELSE 'Re' END AS cue FROM events),
 n AS (SELECT e.event_id, first(c.id ORDER BY c.last_seen DESC, c.id) AS id FROM e JOIN c ON contains(c.hay, e.number) GROUP BY 1),
 cues AS (SELECT DISTINCT cue, {_TOK.format('cue')} AS a FROM e WHERE length(cue) >= 6), titles AS (SELECT id, last_seen, {_TOK.format('title')} AS b FROM c),
 sc AS (SELECT cue, id, last_seen, len(list_intersect(a, b)) / len(a) AS score FROM cues, titles),
@@ -51,14 +51,14 @@ t AS (SELECT cue, id, score FROM sc WHERE score >= 0.45 QUALIFY row_number() OVE
 SELECT e.event_id, coalesce(n.id, t.id) AS deal_id, CASE WHEN n.id IS NOT NULL THEN 1.0::DOUBLE ELSE t.score END AS score, CASE WHEN n.id IS NOT NULL THEN 'number' WHEN t.id IS NOT NULL THEN 'title' ELSE 'unmatched' END AS how FROM e LEFT JOIN n ON n.event_id = e.event_id LEFT JOIN t ON t.cue = e.cue""",
 )
 def _match(s, d):
-    sql = "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'Re: ' || CASE event_id % 3 WHEN 0 THEN 'Legionella and Water Testing Lab' WHEN 1 THEN 'Contract Janitorial' ELSE 'nothing like that' END ELSE 'Re' END AS subject, CASE WHEN event_id % 2 = 0 THEN 'about Deal #' || CAST(200000 + event_id AS STRING) ELSE 'hi' END AS body FROM {events} WHERE event_id < 1500"
+    sql = "SELECT event_id, CASE WHEN event_id % 2 = 1 THEN 'Re: ' || CASE event_id % 3 WHEN 0 THEN 'Legionella and Water Testing Lab' WHEN 1 THEN 'Contract Janitorial' ELSE 'nothing like that' END ELSE 'Re' END AS subject, CASE WHEN event_id % 2 = 0 THEN 'about Deal #' || CAST(200000 + event_id AS STRING) ELSE 'hi' END AS body FROM {events}"
     return pursuit.match_events(p.spark_view(s, d, sql), p.deals(s, d))
 
 
-@query("stage_fold", f"""WITH {_D}, {_O}, r AS (SELECT deal_id, max(CASE event_type WHEN 'nda_available' THEN 3 WHEN 'nda_signed' THEN 4 WHEN 'cim_received' THEN 5 END) AS k FROM outreach WHERE event_id % 3 = 0 GROUP BY 1),
+@query("stage_fold", f"""WITH {_D}, {_O}, r AS (SELECT deal_id, max(CASE event_type WHEN 'nda_available' THEN 3 WHEN 'nda_signed' THEN 4 WHEN 'cim_received' THEN 5 END) AS k FROM outreach GROUP BY 1),
 j AS (SELECT d.id AS deal_id, d.stage, r.k, CASE d.stage WHEN 'inbox' THEN 1 WHEN 'shortlist' THEN 2 WHEN 'contacted' THEN 3 WHEN 'nda' THEN 4 WHEN 'cim' THEN 5 END AS s FROM deals d JOIN r ON r.deal_id = d.id)
 SELECT deal_id, CASE WHEN s IS NULL THEN stage ELSE (['inbox', 'shortlist', 'contacted', 'nda', 'cim'])[greatest(s, coalesce(k, 0))] END AS stage FROM j""")
 def _fold(s, d):
-    e = p.outreach(s, d).where("event_id % 3 = 0")
+    e = p.outreach(s, d)
     start = p.deals(s, d).select(F.col("id").alias("deal_id"), "stage").join(e.select("deal_id").distinct(), "deal_id", "left_semi")
     return merge.fold_stages(start, e.join(start.select("deal_id"), "deal_id", "left_semi"))

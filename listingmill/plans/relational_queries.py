@@ -204,10 +204,10 @@ def _purge(s, d):
     return merge.purge_like(p.deals(s, d), "BETA").select("id")
 
 
-@query("stage_from_outcomes", f"""WITH {_O}, x AS (SELECT deal_id, list(outcome) AS o FROM outreach WHERE event_id % 9 = 0 GROUP BY deal_id)
+@query("stage_from_outcomes", f"""WITH {_O}, x AS (SELECT deal_id, list(outcome) AS o FROM outreach GROUP BY deal_id)
 SELECT deal_id, CASE WHEN list_contains(o, 'not_pursuing') OR list_contains(o, 'unavailable') THEN 'dead' WHEN list_contains(o, 'cim_received') THEN 'cim' WHEN list_contains(o, 'nda_signed') THEN 'nda' WHEN list_contains(o, 'messaged') OR list_contains(o, 'waiting') THEN 'contacted' END AS stage FROM x""")
 def _outcomes(s, d):
-    x = p.outreach(s, d).where("event_id % 9 = 0").groupBy("deal_id").agg(F.collect_set("outcome").alias("o"))
+    x = p.outreach(s, d).groupBy("deal_id").agg(F.collect_set("outcome").alias("o"))
     return x.select("deal_id", merge.stage_from_outcomes(F.col("o")).alias("stage"))
 
 
