@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from listingmill.llm.common import id_text
 
-#: Pieces that a worker remembers; beyond, it forgets all and starts again.
-REMEMBERED = 600_000
+#: Pieces, and pairs of tokens, that a worker remembers; beyond, it forgets all and starts again.
+REMEMBERED, PAIRS = 200_000, 250_000
 #: Where all characters of a text are below U+0250, these classes hold what the properties do.
 _LATIN = ((r"\p{L}", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"), (r"\p{N}", "0-9\xb2\xb3\xb9\xbc-\xbe"), (r"\s", "\t-\r \x85\xa0"))
 
@@ -168,6 +168,8 @@ class Tokenizer:
         Sorted pieces share beginnings with the one before, whose stored last tokens hold for them too.
         """
         out_of, step, go, known, size = self.suffixes.out, self.suffixes.step.get, self.suffixes.go, self.known, self.size
+        if len(known) > PAIRS:
+            known.clear()
         done: dict[str, bytes] = {}
         before, last, states = b"", [0], [0]  # last[i], states[i]: last token and state of the prefix of i atoms
         for piece in sorted(pieces):
