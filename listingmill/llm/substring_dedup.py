@@ -23,7 +23,7 @@ from listingmill.llm import rolling
 from listingmill.llm.common import checked_broadcast, id_text, materialize
 
 #: Windows that a map task gathers before it sends a block.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Bytes of text whose windows share a bucket, on average.
 BUCKET_BYTES = 4 << 20
 
