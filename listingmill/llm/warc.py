@@ -55,7 +55,10 @@ def dictionary(pages: DataFrame, html_col: str = "html", date: str = "2024-01-01
     import zstandard as z
 
     text = F.coalesce(pages[html_col], F.lit("")).alias("html")
-    rows = pages.select(text).where(F.octet_length("html") <= SAMPLE_BYTES // SAMPLE_ROWS).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_ROWS).collect()
+    short = pages.select(text).where(F.octet_length("html") <= SAMPLE_BYTES // SAMPLE_ROWS).select("html", F.xxhash64("html").alias("h"))
+    # the sample is chosen by hashes, so tasks send numbers to the driver and not pages
+    last = short.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    rows = short.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect() if last is not None else []
     parts = [record(i, "http://example.org/", p, hashlib.sha1(p).hexdigest(), None, date) for i, p in enumerate(r["html"].encode() for r in rows)]
     try:
         return z.train_dictionary(DICT_BYTES, parts).as_bytes()
