@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when counted to have at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
+#: A text of more bytes than this gives a training sample only this many pieces, evenly spaced, of this many characters.
+LONGEST, PIECES, PIECE = 256 << 10, 16, 4000
+
 #: White space that separates words in every operator here: space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,13 +71,23 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def _pieces(text: Column) -> Column:
+    n = F.length(text)
+    return F.concat_ws(" ", *[F.substring(text, F.floor((n - PIECE) * i / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str, int]], dict[int, int]]:
     """A bounded training sample (id, text, label) and how many training labels each class has.
 
     Only ids outside the held-out fifth are used. Of each class at most ``per_class`` rows come
-    in the order of a hash of their ids, and of those, whole texts of at most ``most_bytes``
-    bytes together. The result is at most two times these bounds, whatever the input holds.
+    in the order of a hash of their ids, and of those, texts of at most ``most_bytes`` bytes
+    together. The result is at most two times these bounds, whatever the input holds. A text of
+    up to ``LONGEST`` bytes comes whole; a longer one gives ``PIECES`` pieces (not more bytes than
+    that), so no text can take the place of all others. A class that has labels but no text among
+    the documents is an error, unless there are no documents at all.
     """
+    if most_bytes < LONGEST:
+        raise ValueError(f"a sample of {most_bytes} bytes a class may not hold one text of {LONGEST}")
     known = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & ~held_out(id_col))
     known = known.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_y")).dropDuplicates(["_id"])
     known = materialize(known, "labels")
@@ -84,9 +97,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     # at most 2 * per_class rows of two numbers: a bound on what is broadcast
     own = id_text(docs, id_col, text_col)
     rows = own.join(F.broadcast(materialize(picked, "picked")), own["doc_id"] == F.col("_id")).dropDuplicates(["doc_id"])
+    rows = rows.select("doc_id", "_y", F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(_pieces(F.col("text"))).alias("text"))
     running = F.sum(F.octet_length("text")).over(Window.partitionBy("_y").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id"))
     kept = rows.select("doc_id", "text", "_y", running.alias("_sum")).where(F.col("_sum") <= most_bytes)
-    return sorted((r["doc_id"], r["text"], r["_y"]) for r in kept.select("doc_id", "text", "_y").collect()), counts
+    sample = sorted((r["doc_id"], r["text"], r["_y"]) for r in kept.select("doc_id", "text", "_y").collect())
+    lost = counts.keys() - {y for *_, y in sample}
+    if lost and not docs.isEmpty():
+        raise ValueError(f"{label_col}: labels of class {sorted(lost)} but no text of it in the training sample")
+    return sample, counts
 
 
 def fit_logistic(x, y, weight=None, ridge: float = 1e-3, rounds: int = 50):

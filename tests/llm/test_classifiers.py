@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from listingmill.llm import quality, toxicity
+from listingmill.llm.common import LONGEST, held_out, labelled_sample
 
 
 def auc(y, s):
@@ -55,3 +57,28 @@ def test_label_model_discounts_copies():
     post, rate, corr = toxicity.label_model(votes, 0.2, expected)
     assert ((post > 0.5) == y).mean() > 0.88
     assert corr[2, 3] > 0.9 and abs(rate[1, 0] - 0.7) < 0.1
+
+
+@pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
+def test_one_giant_labelled_text_leaves_the_rest_of_its_class(spark, module, label):
+    good, bad = "a calm report about rivers and their old bridges ", "buy cheap slurword pills now click "
+    for giant in (0, 1):
+        rows = [(i, (good, bad)[i % 2] * (2 + i % 5), i % 2) for i in range(600)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+        known = docs.where(~held_out() & (F.col("y") == giant)).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+        first = known.first().doc_id
+        text = F.when(F.col("doc_id") == first, F.repeat("text", 400_000)).otherwise(F.col("text"))
+        docs = docs.select("doc_id", text.alias("text"), F.col("y").alias(label))
+        sample, counts = labelled_sample(docs, docs, label, module.PER_CLASS, module.MOST_BYTES)
+        assert {y: sum(1 for *_, z in sample if z == y) for y in (0, 1)} == counts
+        assert all(len(t.encode()) <= LONGEST for _, t, _ in sample)
+        scored = module.score(docs.where(F.length("text") < 1000), module.fit(docs, docs)).join(docs.select("doc_id", label), "doc_id").toPandas()
+        assert (scored.predicted == scored[label]).mean() > 0.95
+
+
+def test_labels_without_texts_are_an_error(spark, empty):
+    docs = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i + 20 * (i % 2), i % 2) for i in range(20)], "doc_id long, quality int")
+    with pytest.raises(ValueError, match="class"):
+        quality.fit(docs, labels)
+    assert quality.score(empty, quality.fit(empty, labels)).count() == 0
