@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from listingmill.llm.common import WORD, materialize
 
 OTHER = "*"
+#: The largest share of all tokens that is kept where no share is asked for.
+MOST_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -82,13 +84,76 @@ def _shares(cells: np.ndarray, axis: int, targets: list[float]) -> np.ndarray:
     return want
 
 
-def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 17, keep_share: float | None = 0.5) -> DataFrame:
+def rake_within(cells: np.ndarray, weight: np.ndarray, wanted: list[np.ndarray], rounds: int = 200, close: float = 1e-7) -> tuple[np.ndarray, bool]:
+    """Weights of at most 1, ``weight`` scaled along each axis and cut there, at which the kept mass has these marginals.
+
+    Also whether it has them: under that bound they may be out of reach. ``wanted`` are masses by axis.
+    """
+    w = weight.copy()
+    total = max(wanted[0].sum(), 1e-300)
+    for _ in range(rounds):
+        for axis, want in enumerate(wanted):
+            t, v = (np.moveaxis(x, axis, 0).reshape(len(want), -1) for x in (cells, w))
+            low, high = np.full(len(want), -5.0), np.full(len(want), 5.0)
+            for _ in range(40):
+                middle = (low + high) / 2
+                less = (t * np.minimum(1, v * np.exp(middle)[:, None])).sum(1) < want
+                low, high = np.where(less, middle, low), np.where(less, high, middle)
+            by = np.exp((low + high) / 2)
+            w = np.clip(w * by.reshape([-1 if i == axis else 1 for i in range(w.ndim)]), 1e-100, 1e100)
+        kept = cells * np.minimum(1, w)
+        far = max(np.abs(kept.sum(tuple(i for i in range(w.ndim) if i != a)) - want).max() for a, want in enumerate(wanted))
+        if far < close * total:
+            return np.minimum(1, w), True
+    return np.minimum(1, w), False
+
+
+def _within(table: np.ndarray, weight: np.ndarray, keep_share: float | None) -> tuple[np.ndarray, float]:
+    """Weights, and the factor that makes them probabilities: see ``mix_sources``."""
+    some = table > 0
+    if not some.any():
+        return weight, 1.0 if keep_share is None else keep_share
+    raked = table * weight
+    sums = lambda x, axis: x.sum(tuple(i for i in range(x.ndim) if i != axis))
+    masses = [(sums(raked, axis), sums(table, axis)) for axis in range(table.ndim)]
+
+    def at(share: float) -> np.ndarray | None:
+        kept, met = rake_within(table, np.where(some, weight, 0.0) * share, [want * share for want, _ in masses])
+        return np.where(some, kept / share, 1.0) if met else None
+
+    # a value can give no more than it has; one free factor is always possible
+    reach = min([keep_share or MOST_SHARE, *(float((have[want > 0] / want[want > 0]).min()) for want, have in masses)])
+    free = 1 / weight[some].max()
+    if keep_share is None:
+        low, best = min(free, MOST_SHARE), np.where(some, weight, 1.0)
+        if low < reach:
+            high, share = reach, reach
+            for _ in range(12):
+                if (found := at(share)) is not None:
+                    low, best = share, found
+                    if share == reach:
+                        break
+                else:
+                    high = share
+                share = (low + high) / 2
+        return best, low
+    if reach >= keep_share > 0 and (found := at(keep_share)) is not None:
+        return found, keep_share
+    low, high, factor = 0.0, 1 / max(weight[some & (weight > 0)].min(), 1e-300), 0.0
+    for _ in range(200):
+        factor = (low + high) / 2
+        low, high = (factor, high) if (table * np.minimum(1, weight * factor)).sum() < keep_share * table.sum() else (low, factor)
+    return weight, factor
+
+
+def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 17, keep_share: float | None = None) -> DataFrame:
     """doc_id, n_tokens, weight (raked over observed tokens of its cell), probability, draw, sampled of every row.
 
-    ``probability`` is ``weight`` times a factor, at most 1. ``keep_share`` sets the expected
-    share of all tokens kept; weights above what that allows are cut to a probability of 1, and
-    their cells then fall short of their targets. With None the factor makes the largest weight
-    just certain to stay, which keeps all targets exact in expectation but may keep little.
+    ``probability`` is ``weight`` times the share of all tokens kept in expectation. No document can
+    stay oftener than always, so weights are raked under that bound. With ``keep_share`` None
+    the share is the largest found, up to ``MOST_SHARE``, at which all three marginals hold; a value with
+    a target and few tokens makes it small. A given ``keep_share`` is kept as it is, and where no weights
+    meet the targets at that share, weights are cut to a probability of 1 and fall short there.
     ``draw`` is a number in [0, 1) from a hash of the id; a row is sampled if it is less than
     the probability. Tokens are words between white space.
 
@@ -116,13 +181,8 @@ def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_
         weight = np.divide(raked, table, out=np.ones_like(raked), where=table > 0).ravel()
     else:
         weight = np.ones(table.size)
-    some = table.ravel() > 0
-    factor = 1 / weight[some].max() if some.any() else 1.0
-    if keep_share is not None and some.any():
-        low, high = 0.0, 1 / max(weight[some & (weight > 0)].min(), 1e-300)
-        for _ in range(200):
-            factor = (low + high) / 2
-            low, high = (factor, high) if (table.ravel() * np.minimum(1, weight * factor)).sum() < keep_share * table.sum() else (low, factor)
+    weight, factor = _within(table, weight.reshape(shape), keep_share)
+    weight = weight.ravel()
     w = F.get(F.array(*[F.lit(float(x)) for x in weight]), F.col("cell"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), 11).cast("double") / float(1 << 53)
     out = own.select("doc_id", "n_tokens", w.alias("weight"), draw.alias("draw")).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * factor))

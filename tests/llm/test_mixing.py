@@ -1,6 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
-from listingmill.llm import mixing
+from listingmill.llm import mixing, queries
 
 
 def test_rake_meets_all_marginals():
@@ -31,3 +32,25 @@ def test_topics_and_empty(spark, empty):
     df = spark.createDataFrame([("a | b | c |",), ("#### $$$$ word",), ("LOUD!! WORDS!! here",), ("plain words",), (None,)], "text string")
     assert [r[0] for r in df.select(mixing.topic_of(df.text)).collect()] == ["table", "symbols", "shouting", "prose", "prose"]
     assert mixing.mix_sources(empty).count() == 0
+
+
+def test_registered_parameters_meet_all_targets_on_a_hot_source(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "src0").otherwise(F.col("source")))
+    monkeypatch.setattr(queries, "_read", lambda *_: docs)
+    out = queries.op5_mixing(spark, "").join(docs.select("doc_id", "source", "lang", mixing.topic_of(F.col("text")).alias("topic")), "doc_id").toPandas()
+    mass = out.n_tokens * out.probability
+    for kind in ("source", "lang", "topic"):
+        wanted = {k: v for k, v in mixing.DEFAULT.of(kind).items() if (out[kind] == k).any()}
+        have = mass.groupby(out[kind]).sum().reindex(list(wanted))
+        assert np.allclose(have / have.sum(), np.array(list(wanted.values())) / sum(wanted.values()), atol=1e-5), kind
+    assert out.probability.max() <= 1 and mass.sum() / out.n_tokens.sum() > 0.1
+    print("kept share", mass.sum() / out.n_tokens.sum(), "weights up to", out.weight.max())
+
+
+def test_bounded_raking_moves_mass_between_cells():
+    cells = np.array([[100.0, 10.0], [10.0, 100.0]])
+    wanted = [np.array([60.0, 60.0]), np.array([60.0, 60.0])]
+    w, met = mixing.rake_within(cells, np.array([[0.1, 9.0], [9.0, 0.1]]), wanted)
+    assert met and w.max() <= 1 and np.allclose((cells * w).sum(0), 60, atol=1e-4) and np.allclose((cells * w).sum(1), 60, atol=1e-4)
+    assert not mixing.rake_within(cells, np.ones((2, 2)), [np.array([115.0, 5.0]), np.array([60.0, 60.0])])[1]
