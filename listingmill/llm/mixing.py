@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from listingmill.llm.common import WORD, materialize
 
 OTHER = "*"
-#: The largest share of all tokens that is kept where no share is asked for.
-MOST_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -108,37 +106,30 @@ def rake_within(cells: np.ndarray, weight: np.ndarray, wanted: list[np.ndarray],
     return np.minimum(1, w), False
 
 
+def _capped(want: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Masses wanted, none over what there is; the others share out the rest in proportion."""
+    total, out = want.sum(), want
+    for _ in range(len(want)):
+        full = out >= have
+        rest = want[~full].sum()
+        out = np.where(full, have, want * ((total - have[full].sum()) / rest if rest > 0 else 0.0))
+        if (out <= have).all():
+            break
+    return np.minimum(out, have)
+
+
 def _within(table: np.ndarray, weight: np.ndarray, keep_share: float | None) -> tuple[np.ndarray, float]:
     """Weights, and the factor that makes them probabilities: see ``mix_sources``."""
     some = table > 0
     if not some.any():
-        return weight, 1.0 if keep_share is None else keep_share
-    raked = table * weight
-    sums = lambda x, axis: x.sum(tuple(i for i in range(x.ndim) if i != axis))
-    masses = [(sums(raked, axis), sums(table, axis)) for axis in range(table.ndim)]
-
-    def at(share: float) -> np.ndarray | None:
-        kept, met = rake_within(table, np.where(some, weight, 0.0) * share, [want * share for want, _ in masses])
-        return np.where(some, kept / share, 1.0) if met else None
-
-    # a value can give no more than it has; one free factor is always possible
-    reach = min([keep_share or MOST_SHARE, *(float((have[want > 0] / want[want > 0]).min()) for want, have in masses)])
-    free = 1 / weight[some].max()
+        return weight, 1.0
     if keep_share is None:
-        low, best = min(free, MOST_SHARE), np.where(some, weight, 1.0)
-        if low < reach:
-            high, share = reach, reach
-            for _ in range(12):
-                if (found := at(share)) is not None:
-                    low, best = share, found
-                    if share == reach:
-                        break
-                else:
-                    high = share
-                share = (low + high) / 2
-        return best, low
-    if reach >= keep_share > 0 and (found := at(keep_share)) is not None:
-        return found, keep_share
+        return weight, 1 / weight[some].max()
+    sums = lambda x, axis: x.sum(tuple(i for i in range(x.ndim) if i != axis))
+    wanted = [_capped(sums(table * weight, axis) * keep_share, sums(table, axis)) for axis in range(table.ndim)]
+    kept, met = rake_within(table, np.where(some, weight, 0.0) * keep_share, wanted)
+    if met and keep_share > 0:
+        return np.where(some, kept / keep_share, 1.0), keep_share
     low, high, factor = 0.0, 1 / max(weight[some & (weight > 0)].min(), 1e-300), 0.0
     for _ in range(200):
         factor = (low + high) / 2
@@ -146,14 +137,15 @@ def _within(table: np.ndarray, weight: np.ndarray, keep_share: float | None) ->
     return weight, factor
 
 
-def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 17, keep_share: float | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 17, keep_share: float | None = 0.5) -> DataFrame:
     """doc_id, n_tokens, weight (raked over observed tokens of its cell), probability, draw, sampled of every row.
 
-    ``probability`` is ``weight`` times the share of all tokens kept in expectation. No document can
-    stay oftener than always, so weights are raked under that bound. With ``keep_share`` None
-    the share is the largest found, up to ``MOST_SHARE``, at which all three marginals hold; a value with
-    a target and few tokens makes it small. A given ``keep_share`` is kept as it is, and where no weights
-    meet the targets at that share, weights are cut to a probability of 1 and fall short there.
+    ``probability`` is ``weight`` times a factor, at most 1. ``keep_share`` sets the expected share
+    of all tokens kept. Weights are raked under the bound of 1, so the kept tokens meet all
+    targets where that share allows it. A value with fewer tokens than its target is kept whole and
+    the other values share out the rest; where even that has no solution, weights are cut to a probability of 1 and fall
+    short. With None the factor makes the largest weight just certain to stay, which keeps all
+    targets exact in expectation but may keep little.
     ``draw`` is a number in [0, 1) from a hash of the id; a row is sampled if it is less than
     the probability. Tokens are words between white space.
 
