@@ -36,9 +36,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, and the ids of every document that is left."""
-    out = bpe.encode(docs, queries.VOCABULARY)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    """doc_id, n_tokens, and the ids and the text decoded from them of every document that is left."""
+    out = bpe.encode(docs, queries.VOCABULARY, decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "decoded")
 
 
 STAGES = [
@@ -46,7 +46,7 @@ STAGES = [
     ("exact dedup", exact_stage),
     ("SimHash near-dedup", near_stage),
     ("mixing sources to target weights", mixing_stage),
-    ("BPE encoding", bpe_stage),
+    ("BPE encoding and decoding", bpe_stage),
 ]
 
 #: Compression, SimHash, raking and BPE have no SQL; the tests compare the stages with brute force.

@@ -1,5 +1,10 @@
+import hashlib
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from listingmill.llm import exact_dedup, mixing, quality, simhash_dedup
+from listingmill.llm import exact_dedup, mixing, quality, queries, simhash_dedup
 
 
 def test_stages_take_effect(spark, sf_dir):
@@ -29,3 +34,17 @@ def test_stages_take_effect(spark, sf_dir):
     last = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in last.collect()} == {r.doc_id for r in fourth.collect()}
     assert set(last.columns) >= {"doc_id", "n_tokens", "ids"}
+
+
+def test_last_stage_encodes_and_decodes(spark):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.VOCABULARY)
+    texts = ["", "Hello  world's END", "naïve — 12.5 %\n日本"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert name == "BPE encoding and decoding"
+    rows = {r.doc_id: r for r in stage(spark, docs, "").collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(rows[i].ids, "<u4").tolist() == ids and rows[i].n_tokens == len(ids)
+        assert rows[i].decoded == library.decode(ids, skip_special_tokens=False)
+        assert rows[i].decoded_sha256 == hashlib.sha256(rows[i].decoded.encode()).hexdigest()
