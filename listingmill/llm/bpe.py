@@ -7,8 +7,11 @@ two tokens' characters would keep both. That one token is stored for every prefi
 the stored tokens back from the end gives the ids. (See the linear-time BPE literature; the
 proof that the last token is unique rests on merges being applied in the order of their rank.)
 
-Pieces recur, so each Python worker keeps the ids of those it has met, up to a bound. New
-pieces are taken in sorted order: they begin like the one before and share its prefixes.
+Pieces recur, so each Python worker keeps the ids of those it has met lately, in two generations
+of bounded size: when the younger is full it becomes the older, whose pieces return to the younger
+where they are met again, so frequent ones stay. New pieces are taken in sorted order: they
+begin like the one before and share its prefixes. No piece holds white space, so a long text is
+taken in parts that end before a space.
 """
 
 from __future__ import annotations
@@ -19,12 +22,19 @@ from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from listingmill.llm.common import id_text
 
-#: Pieces, and pairs of tokens, that a worker remembers; beyond, it forgets all and starts again.
-REMEMBERED, PAIRS = 200_000, 250_000
+#: Bytes of one generation of remembered pieces, about, and pairs of tokens before they are forgotten.
+REMEMBERED, PAIRS = 48 << 20, 200_000
+#: Steps of the automaton that are stored; others are found through failure links.
+STEPS = 300_000
+#: Bytes that a remembered piece takes beside its own characters and ids.
+_ENTRY = 200
+#: Characters of text that are taken at once, about.
+_AT_ONCE = 1 << 20
 #: Where all characters of a text are below U+0250, these classes hold what the properties do.
 _LATIN = ((r"\p{L}", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"), (r"\p{N}", "0-9\xb2\xb3\xb9\xbc-\xbe"), (r"\s", "\t-\r \x85\xa0"))
 
@@ -126,6 +136,10 @@ class Tokenizer:
         self.known: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.met: dict[str, bytes] = {}
+        self.met_before: dict[str, bytes] = {}
+        self.met_bytes = 0
+        last = max(self.names, default=-1) + 1
+        self.name_list = pa.array([self.names.get(i) for i in range(last)], pa.string())
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE over the characters of tokens ``a`` and ``b`` ends with exactly these two.
@@ -169,7 +183,8 @@ class Tokenizer:
         """
         out_of, step, go, known, size = self.suffixes.out, self.suffixes.step.get, self.suffixes.go, self.known, self.size
         if len(known) > PAIRS:
-            known.clear()
+            self.known = known = {}
+        steps = self.suffixes.step
         done: dict[str, bytes] = {}
         before, last, states = b"", [0], [0]  # last[i], states[i]: last token and state of the prefix of i atoms
         for piece in sorted(pieces):
@@ -183,7 +198,11 @@ class Tokenizer:
             for end in range(k + 1, n + 1):
                 c = word[end - 1] if end < n else 256 + word[-1]
                 nxt = step(state << 9 | c)
-                state = go(state, c) if nxt is None else nxt
+                if nxt is None:
+                    nxt = go(state, c)
+                    if len(steps) < STEPS:
+                        steps[state << 9 | c] = nxt
+                state = nxt
                 for token, length in out_of[state]:
                     if length == end:
                         good = self.stands(token)
@@ -232,27 +251,66 @@ class Tokenizer:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [[(p, None) if p in self.special else (p, self.pieces(p)) for p in self.cut(t) if p] for t in texts]
-        met = self.met
-        new = {x for parts in cut for _, pieces in parts if pieces for x in pieces if x not in met}
-        if new:
-            if len(met) + len(new) > REMEMBERED:
-                met.clear()
-                new = {x for parts in cut for _, pieces in parts if pieces for x in pieces}
-            met.update(self.encode_pieces(new))
+        met = self._recall(set().union(*(pieces for parts in cut for _, pieces in parts if pieces)))
         get = met.__getitem__
         return [b"".join(pack("<I", self.special[p]) if pieces is None else b"".join(map(get, pieces)) for p, pieces in parts) for parts in cut]
 
+    def _recall(self, pieces: set[str]) -> dict[str, bytes]:
+        """A dictionary that holds the ids of all these pieces."""
+        if self.met_bytes > REMEMBERED:
+            self.met, self.met_before, self.met_bytes = {}, self.met, 0
+        met, before = self.met, self.met_before
+        missing = pieces - met.keys()
+        found = {p: before[p] for p in missing & before.keys()}
+        new = self.encode_pieces(missing - found.keys())
+        for more in (found, new):
+            met.update(more)
+            self.met_bytes += sum(map(len, more)) + sum(map(len, more.values())) + _ENTRY * len(more)
+        return met
+
+    def encode_all(self, texts: list[str]):
+        """Ids of each text in turn, a bounded number of characters at a time."""
+        held, size = [], 0
+        for text in texts:
+            if len(text) > 2 * _AT_ONCE:
+                yield from self.encode_batch(held)
+                held, size = [], 0
+                yield b"".join(self.encode_batch([part])[0] for part in _parts(text))
+                continue
+            held.append(text)
+            size += len(text)
+            if size > _AT_ONCE:
+                yield from self.encode_batch(held)
+                held, size = [], 0
+        yield from self.encode_batch(held)
+
     def encode(self, text: str) -> bytes:
-        return self.encode_batch([text])[0]
+        return next(self.encode_all([text]))
 
-    def decode(self, ids: bytes) -> str:
+    def decode_batch(self, encoded: list[bytes]) -> pa.Array:
         """Names of the tokens, joined by one space, special ones included; unknown ids are left out."""
-        names = self.names
-        found = np.frombuffer(ids, "<u4").tolist()
-        try:
-            return " ".join(map(names.__getitem__, found))
-        except KeyError:
-            return " ".join(names[i] for i in found if i in names)
+        ids = np.frombuffer(b"".join(encoded), "<u4").astype(np.int64)
+        sizes = np.fromiter((len(x) // 4 for x in encoded), np.int64, len(encoded))
+        known = ids < len(self.name_list)
+        if not known.all() or self.name_list.null_count:
+            known[known] = self.name_list.is_valid().to_numpy(zero_copy_only=False)[ids[known]]
+            kept = np.r_[0, np.cumsum(known)]
+            ids, offsets = ids[known], kept[np.r_[0, np.cumsum(sizes)]]
+        else:
+            offsets = np.r_[0, np.cumsum(sizes)]
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(offsets), self.name_list.take(pa.array(ids))), " ")
+
+    def decode(self, ids: bytes) -> str:
+        return self.decode_batch([ids])[0].as_py()
+
+
+def _parts(text: str):
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + _AT_ONCE)
+        end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
 
 
 _loaded: dict[int, Tokenizer] = {}
@@ -283,12 +341,15 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         tok = _tokenizer(spec)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = tok.encode_batch(part.column(1).to_pylist())
-                cols = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
-                cols += [pa.array([tok.decode(x) for x in ids], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
+            start, held, size = 0, [], 0
+            for i, ids in enumerate(tok.encode_all(batch.column(1).to_pylist())):
+                held.append(ids)
+                size += len(ids)
+                if size > _AT_ONCE or i == batch.num_rows - 1:
+                    cols = [batch.column(0).slice(start, len(held)), pa.array([len(x) // 4 for x in held], pa.int64()), pa.array(held, pa.binary())]
+                    cols += [tok.decode_batch(held).cast(pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
+                    start, held, size = i + 1, [], 0
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
@@ -300,6 +361,9 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     def run(batches):
         tok = _tokenizer(spec)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tok.decode(x or b"") for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = tok.decode_batch([x or b"" for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), texts.cast(pa.string())], names=["doc_id", "text"])
 
     return encoded.select(encoded[id_col].alias("doc_id"), encoded[ids_col].alias("ids")).mapInArrow(run, "doc_id long, text string")

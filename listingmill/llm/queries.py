@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 
 from listingmill.llm import bpe, exact_dedup, html_text, mixing, neighbours, quality, simhash_dedup, substring_dedup, toxicity, warc
 
-#: Where the vocabulary of op 2 lies on the driver; another path may be set before a query is made.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: The vocabulary of op 2: a file on the driver that the package of public tokenizers names. Another path may be set.
+VOCABULARY: str | None = None
+
+
+def vocabulary() -> str:
+    if VOCABULARY is not None:
+        return VOCABULARY
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,7 +31,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode(_read(spark, sf_dir, "documents"), VOCABULARY, decoded=True)
+    out = bpe.encode(_read(spark, sf_dir, "documents"), vocabulary(), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
