@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when counted to have at most this many (narrow) rows.
@@ -23,11 +23,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (local mode, tests) a folder of our own is made.
+    Only in local mode (tests) a folder of our own is made where that setting is absent; on a
+    cluster that is an error, since its machines share no local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -49,16 +52,52 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def checked_broadcast(table: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Hint a materialized, narrow table for broadcast if it is small; else leave it to a shuffle join."""
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     return F.broadcast(table) if table.count() <= max_rows else table
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (rows with a null id stay)."""
-    gone = materialize(ids.select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct(), "gone")
-    side = checked_broadcast(gone)
-    return docs.join(side, docs[id_col] == side["_gone"], "left_anti")
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str, max_rows: int | None = None) -> DataFrame:
+    """Join narrow rows with a materialized table of their groups, each key once, of which ``size`` counts the rows.
+
+    ``how`` is left, left_semi or left_anti. Few groups are broadcast. Of many, the large ones are: over a limit
+    of (all rows / ``max_rows``) rows there can be at most ``max_rows`` of them. The others are shuffled, and none of
+    their keys holds more rows than that limit.
+    """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
+    if groups.count() <= max_rows:
+        return rows.join(F.broadcast(groups), on, how)
+    limit = (groups.agg(F.sum(size)).first()[0] or 0) // max(1, max_rows)
+    large, small = groups.where(F.col(size) > limit), groups.where(F.col(size) <= limit)
+    if how == "left_anti":
+        return rows.join(F.broadcast(large), on, how).join(small, on, how)
+    of_large = rows.join(F.broadcast(large), on, "left_semi" if how == "left_semi" else "inner")
+    return of_large.unionByName(rows.join(F.broadcast(large), on, "left_anti").join(small, on, how))
+
+
+def with_row_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells all rows apart, and that column's name.
+
+    Where every id is there once, it is the id; else the table is written once more with its rows numbered.
+    """
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    odd = docs.groupBy(docs[id_col].alias("_id")).count().where("_id IS NULL OR count > 1").limit(1).count()
+    if odd:
+        return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+    return docs.withColumn(name, docs[id_col].cast("long")), name
+
+
+def drop_rows(docs: DataFrame, row_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in the one column of ``gone``, and without the key.
+
+    A counted short list of keys is broadcast. A longer one meets the rows in one shuffle on
+    the key, of which every value is there once.
+    """
+    side = checked_broadcast(materialize(gone.toDF("_gone"), "gone"))
+    return docs.join(side, docs[row_col] == side["_gone"], "left_anti").drop(row_col)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -76,35 +115,47 @@ def _pieces(text: Column) -> Column:
     return F.concat_ws(" ", *[F.substring(text, F.floor((n - PIECE) * i / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str, int]], dict[int, int]]:
-    """A bounded training sample (id, text, label) and how many training labels each class has.
+def labelled_frame(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """A bounded, written training sample (doc_id, text, y) and how many training labels each class has.
 
     Only ids outside the held-out fifth are used. Of each class at most ``per_class`` rows come
-    in the order of a hash of their ids, and of those, texts of at most ``most_bytes`` bytes
+    in the order of a hash of their ids, and of those, in that order, each text that still fits in ``most_bytes`` bytes
     together. The result is at most two times these bounds, whatever the input holds. A text of
     up to ``LONGEST`` bytes comes whole; a longer one gives ``PIECES`` pieces (not more bytes than
-    that), so no text can take the place of all others. A class that has labels but no text among
-    the documents is an error, unless there are no documents at all.
+    that), so no text can take the place of all others. An id whose labels disagree is left out;
+    of documents that share an id the one whose text has the smallest hash counts. A class whose labels belong
+    to no document counts as one without labels; one whose texts all exceed ``most_bytes`` is an error.
     """
-    if most_bytes < LONGEST:
-        raise ValueError(f"a sample of {most_bytes} bytes a class may not hold one text of {LONGEST}")
     known = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & ~held_out(id_col))
-    known = known.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_y")).dropDuplicates(["_id"])
-    known = materialize(known, "labels")
+    known = known.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_y"))
+    known = materialize(known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").select("_id", "_y"), "labels")
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     order = [F.xxhash64(F.col("_id"), F.lit(7)), F.col("_id")]
     picked = known.where("_y = 0").orderBy(*order).limit(per_class).unionByName(known.where("_y = 1").orderBy(*order).limit(per_class))
     # at most 2 * per_class rows of two numbers: a bound on what is broadcast
     own = id_text(docs, id_col, text_col)
-    rows = own.join(F.broadcast(materialize(picked, "picked")), own["doc_id"] == F.col("_id")).dropDuplicates(["doc_id"])
-    rows = rows.select("doc_id", "_y", F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(_pieces(F.col("text"))).alias("text"))
-    running = F.sum(F.octet_length("text")).over(Window.partitionBy("_y").orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id"))
-    kept = rows.select("doc_id", "text", "_y", running.alias("_sum")).where(F.col("_sum") <= most_bytes)
-    sample = sorted((r["doc_id"], r["text"], r["_y"]) for r in kept.select("doc_id", "text", "_y").collect())
-    lost = counts.keys() - {y for *_, y in sample}
-    if lost and not docs.isEmpty():
-        raise ValueError(f"{label_col}: labels of class {sorted(lost)} but no text of it in the training sample")
-    return sample, counts
+    rows = own.join(F.broadcast(materialize(picked, "picked")), own["doc_id"] == F.col("_id"))
+    rows = rows.select("doc_id", F.col("_y").alias("y"), F.xxhash64("text").alias("h"), F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(_pieces(F.col("text"))).alias("text"))
+    rows = materialize(rows.groupBy("doc_id", "y").agg(F.min_by("text", "h").alias("text")), "picked-texts")
+    # the ids and sizes of the rows picked, three numbers each, decide which fit
+    fits, room = [], {0: most_bytes, 1: most_bytes}
+    for r in rows.select("doc_id", "y", F.octet_length("text").alias("n")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").collect():
+        if r["n"] <= room[r["y"]]:
+            room[r["y"]] -= r["n"]
+            fits.append((r["doc_id"],))
+    empty = {y for y in counts if room[y] == most_bytes}
+    if empty & {r["y"] for r in rows.select("y").distinct().collect()}:
+        raise ValueError(f"{label_col}: no text of class {sorted(empty)} fits in {most_bytes} bytes")
+    for y in empty:
+        counts.pop(y)
+    kept = docs.sparkSession.createDataFrame(fits, "_id long")
+    return rows.join(F.broadcast(kept), rows["doc_id"] == kept["_id"], "left_semi").select("doc_id", "text", "y"), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """The rows of ``labelled_frame`` on the driver, in the order of their ids, and the counts."""
+    frame, counts = labelled_frame(docs, labels, label_col, per_class, most_bytes, id_col, text_col)
+    return sorted(tuple(r) for r in frame.collect()), counts
 
 
 def fit_logistic(x, y, weight=None, ridge: float = 1e-3, rounds: int = 50):

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingmill.llm import rolling
-from listingmill.llm.common import checked_broadcast, id_text, materialize
+from listingmill.llm.common import checked_broadcast, join_groups, materialize
 
 #: (first bit, bits) of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -58,16 +58,18 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 def _prints(shingle: int):
     def run(batches):
         for batch in batches:
-            buf, bounds = rolling.text_buffer(batch.column(1))
+            buf, bounds = rolling.text_buffer(batch.column(2))
             out = np.fromiter((fingerprint(buf[s:e].tobytes(), shingle) for s, e in zip(bounds[:-1], bounds[1:], strict=True)), np.uint64, len(bounds) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=["row", "doc_id", "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row; texts without words have fp 0."""
-    return id_text(docs, id_col, text_col).mapInArrow(_prints(shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, row_col: str | None = None) -> DataFrame:
+    """row, doc_id and fp (the fingerprint's bits as a signed long) of every row; texts without words have fp 0."""
+    row = docs[row_col] if row_col else F.lit(0)
+    own = docs.select(row.cast("long").alias("row"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return own.mapInArrow(_prints(shingle), "row long, doc_id long, fp long")
 
 
 def _part(fp: Column, first: int, bits: int) -> Column:
@@ -153,19 +155,25 @@ def components(pairs: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, hot: int = HOT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, hot: int = HOT, row_col: str | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row.
 
     component_id is the smallest id reachable over links of ``DISTANCE`` bits or fewer, its own
-    included. Defined cases: a null or blank text has fingerprint zero, which links like any
+    included. With ``row_col``, a column that tells rows apart, the result also has it as ``row``, and ``kept``, which is
+    true for one row of each component: the one with the smallest id, and of those the smallest row.
+
+    Defined cases: a null or blank text has fingerprint zero, which links like any
     other; a null id gets the component of its fingerprint but names none (a component of null
     ids alone has a null component_id); repeated rows each get a result; other columns, of any
     name, are not read; an empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    prints = materialize(fingerprints(docs, id_col, text_col, shingle, row_col), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = materialize(prints.groupBy("fp").agg(first, F.count("*").alias("n")), "nodes")
     reached = materialize(components(near_pairs(nodes.select("fp"), hot)), "reached")
-    linked = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    named = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    ids = materialize(linked.join(named, "label").select(F.col("fp").alias("_fp"), "component_id"), "component-ids")
-    return prints.join(ids, prints["fp"] == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = nodes.join(reached, nodes["fp"] == reached["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
+    named = linked.groupBy("label").agg(F.min("first").alias("least"))
+    ids = materialize(linked.join(named, "label").select("fp", "n", "least"), "component-ids")
+    out = join_groups(prints, ids, ["fp"], "n", "left")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.doc_id").alias("component_id"), *(["row", kept.alias("kept")] if row_col else []))

@@ -4,7 +4,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from listingmill.llm import exact_dedup, simhash_dedup
+from listingmill.llm import common, exact_dedup, simhash_dedup
 
 
 def test_exact(spark, odd, empty, sf_dir):
@@ -13,7 +13,7 @@ def test_exact(spark, odd, empty, sf_dir):
     groups = {}
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
-    for limit in (exact_dedup.BROADCAST_ROWS, 0):
+    for limit in (common.BROADCAST_ROWS, 0):
         got = exact_dedup.exact_duplicates(df, digest=True, broadcast_rows=limit).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -94,3 +94,45 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in simhash_dedup.components(df).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[100 + i] for i in range(30)} == {100}
     assert simhash_dedup.components(df.where(F.lit(False))).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_text_enters_a_shuffle_of_exact_dedup(spark, sf_dir, tmp_path):
+    """Past the broadcast bound too: what is joined and shuffled are keys of fixed size."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(exact_dedup.exact_duplicates(docs, digest=True).collect())
+    for limit in (0, 3):
+        out = exact_dedup.exact_duplicates(docs, digest=True, broadcast_rows=limit)
+        assert "documents.parquet" not in plan_of(out) and "text#" not in plan_of(out)
+        assert sorted(out.collect()) == want
+        short = exact_dedup.exact_duplicates(docs, broadcast_rows=limit)
+        assert sorted(short.collect()) == sorted((r[0], r[1], r[2], r[3]) for r in want)
+
+
+def test_one_row_stays_of_rows_told_apart(spark):
+    df = spark.createDataFrame([(1, "a", 10), (1, "a", 11), (None, "a", 12), (None, "b", 13), (None, "b", 14)], "doc_id long, text string, key long")
+    for limit in (common.BROADCAST_ROWS, 0):
+        got = exact_dedup.exact_duplicates(df, row_col="key", broadcast_rows=limit).collect()
+        assert sorted(r.row for r in got if r.kept) == [11, 14] and len(got) == 5
+    near = simhash_dedup.near_duplicates(df, row_col="key").collect()
+    assert sorted(r.row for r in near if r.kept) == [10, 13]
+
+
+def test_groups_joined_past_the_bound(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 2 else 3) for i in range(200)] + [(999, 77)], "row long, k long")
+    groups = common.materialize(rows.where("k < 70").groupBy("k").agg(F.count("*").alias("n")), "groups")
+    for how in ("left", "left_semi", "left_anti"):
+        want = sorted(rows.join(groups, ["k"], how).select("row", "k").collect())
+        for bound in (100, 5, 2, 0):
+            assert sorted(common.join_groups(rows, groups, ["k"], "n", how, bound).select("row", "k").collect()) == want
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, long + "x")], "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(df, digest=True).collect()} == {1: (2, 2), 2: (2, 2), 3: (3, 1)}
+    got = {r.doc_id: r for r in simhash_dedup.near_duplicates(df).collect()}
+    assert {r.component_id for r in got.values()} == {1} and int(got[1].fingerprint, 16) == brute_print(long)
