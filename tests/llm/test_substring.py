@@ -28,8 +28,8 @@ def test_matches_brute_force(spark, words, odd, empty):
     docs = [(i, " ".join(words(random.Random(i).randint(0, 90), i) + (shared[: 20 + i % 25] if i % 3 == 0 else []) + words(5, 1000 + i))) for i in range(60)]
     docs += [(100, docs[4][1]), (101, docs[4][1]), (102, "a " * 200), (103, "a " * 50), (None, docs[4][1]), (104, None)]
     df = spark.createDataFrame([(i, t, 7) for i, t in docs], "doc_id long, text string, hashes int")
-    for width in (8, 50):
-        got = substring_dedup.remove_repeated_substrings(df, width=width)
+    for width, more in ((8, {}), (8, {"fan_out": 3, "broadcast_rows": 0}), (50, {"broadcast_rows": 0})):
+        got = substring_dedup.remove_repeated_substrings(df, width=width, **more)
         rows = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()), key=lambda x: ((1 << 63) if x[0] is None else x[0], x[3]))
         assert rows == brute(docs, width)
     assert substring_dedup.remove_repeated_substrings(odd).count() == odd.count()
@@ -57,3 +57,30 @@ def test_hashes_do_not_depend_on_pieces():
     assert (whole == parts).all() and n[0] == m[0] == 5000
     assert (windows == rolling.window_hashes(whole, n, 7)[0]).all()
     assert len(set(whole.tolist())) == len(set(text.split()))
+
+
+def test_rows_without_id_and_the_largest_id(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(None, text), ((1 << 63) - 1, text), (None, text + " x"), (None, "a b")], "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.remove_repeated_substrings(df, width=10).collect()}
+    assert got == {((1 << 63) - 1, 12): 0, (None, 12): 0, (None, 13): 0, (None, 2): 0}
+    df = spark.createDataFrame([(None, text), (7, text), (None, text + " x")], "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.remove_repeated_substrings(df, width=10).collect()}
+    assert got == {(7, 12): 0, (None, 12): 12, (None, 13): 12}
+
+
+def test_very_long_text(spark):
+    r = random.Random(9)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300_000))
+    df = spark.createDataFrame([(1, long), (2, "x " + long[600_000:1_200_000])], "doc_id long, text string")
+    got = {x.doc_id: x for x in substring_dedup.remove_repeated_substrings(df).collect()}
+    assert got[1].n_removed == 0 and got[1].n_words == 300_000
+    assert got[2].n_words - got[2].n_removed <= 3 and got[2].kept_text.startswith("x")
+
+
+def test_bucket_hash_is_independent_of_the_window_hash():
+    """Windows whose 64-bit hashes were equal would still part by bucket: the two hashes share no structure."""
+    words = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    h, _ = rolling.window_hashes(words, np.array([5000]), 7)
+    b = substring_dedup._bucket_of(words, np.array([5000]), 7, 1 << 20)
+    assert len(set(b.tolist())) > 4900 and abs(np.corrcoef(h.astype(float), b.astype(float))[0, 1]) < 0.05
