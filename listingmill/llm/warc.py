@@ -14,10 +14,10 @@ import struct
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmill.llm.common import checked_broadcast, materialize, new_path
+from listingmill.llm.common import BROADCAST_ROWS, checked_broadcast, join_groups, materialize, new_path
 
 #: Number of the skippable frame that holds the dictionary, as the public WARC-Zstandard draft has it.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -50,15 +50,27 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to, date: str)
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _sample_piece(text: Column) -> Column:
+    """A text whole if it is short, else its beginning, middle and end: at most a row's share of the sample's bytes."""
+    most = SAMPLE_BYTES // SAMPLE_ROWS
+    third = most // 4 // 3  # a character has four bytes at most
+    long = F.concat(F.substring(text, 1, third), F.substring(text, F.floor(F.length(text) / 2).cast("int"), F.lit(third)), F.substring(text, F.length(text) - (third - 1), F.lit(third)))
+    return F.when(F.octet_length(text) <= most, text).otherwise(long)
+
+
 def dictionary(pages: DataFrame, html_col: str = "html", date: str = "2024-01-01T00:00:00Z") -> bytes:
-    """A dictionary from the records of a bounded sample of pages; raw text where there is too little to train on."""
+    """A dictionary from the records of a bounded sample of pages; raw text where there is too little to train on.
+
+    The pages with the smallest hashes are the sample, whatever their length; of a long one the
+    first bytes, its middle and its end take part.
+    """
     import zstandard as z
 
     text = F.coalesce(pages[html_col], F.lit("")).alias("html")
-    short = pages.select(text).where(F.octet_length("html") <= SAMPLE_BYTES // SAMPLE_ROWS).select("html", F.xxhash64("html").alias("h"))
+    hashed = pages.select(text).select(_sample_piece(F.col("html")).alias("html"), F.xxhash64("html").alias("h"))
     # the sample is chosen by hashes, so tasks send numbers to the driver and not pages
-    last = short.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
-    rows = short.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect() if last is not None else []
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
+    rows = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect() if last is not None else []
     parts = [record(i, "http://example.org/", p, hashlib.sha1(p).hexdigest(), None, date) for i, p in enumerate(r["html"].encode() for r in rows)]
     try:
         return z.train_dictionary(DICT_BYTES, parts).as_bytes()
@@ -103,7 +115,7 @@ def _write(folder: str, dict_bytes: bytes, archive_bytes: int, date: str, level:
     return run
 
 
-def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z", level: int = 3, revisit_from: int = REVISIT_FROM) -> DataFrame:
+def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z", level: int = 3, revisit_from: int = REVISIT_FROM, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Write a record per row into archives in the shared folder; returns their list (path, records, bytes).
 
     Of records with equal payloads of at least ``revisit_from`` bytes, those with the largest id
@@ -115,12 +127,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """
     spark = pages.sparkSession
     own = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), F.coalesce(pages[html_col], F.lit("")).alias("html"))
-    digests = own.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= revisit_from)
-    groups = materialize(digests.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 AND keep IS NOT NULL").select("digest", "keep"), "payloads")
-    # heavy groups are few and their list is narrow: broadcast if counted small, else a join of the narrow rows, which Spark splits where skewed
-    revisits = materialize(digests.join(checked_broadcast(groups), "digest").where(~F.col("page_id").eqNullSafe(F.col("keep"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "keep").distinct(), "revisits")
+    # narrow rows decide: one scan writes id, digest and size of each page that may be a revisit
+    digests = materialize(own.select("page_id", F.sha1("html").alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= revisit_from).select("page_id", "digest"), "digests")
+    groups = materialize(digests.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 AND keep IS NOT NULL"), "payloads")
+    met = join_groups(digests, groups, ["digest"], "n", "left").where(F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")))
+    revisits = materialize(met.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "keep").distinct(), "revisits")
+    # pages meet the revisits by broadcast of a counted short list, else in one shuffle on a key that equal rows alone share
     keyed = own.withColumn("digest", F.sha1("html"))
-    rows = keyed.join(checked_broadcast(revisits), keyed["page_id"].eqNullSafe(F.col("_id")) & (keyed["digest"] == F.col("_digest")), "left").select("page_id", "url", "html", "digest", F.col("keep").alias("refers_to"))
+    rows = keyed.join(checked_broadcast(revisits, broadcast_rows), keyed["page_id"].eqNullSafe(F.col("_id")) & (keyed["digest"] == F.col("_digest")), "left").select("page_id", "url", "html", "digest", F.col("keep").alias("refers_to"))
     folder = new_path(spark, "warc")
     files, base = _open(folder)
     files.create_dir(base, recursive=True)

@@ -40,5 +40,19 @@ def test_archive_layout(spark, pages):
     assert one.startswith(b"WARC/1.1\r\n") and one.count(b"WARC-Record-ID") == 1
 
 
+def test_past_the_broadcast_bound(spark, pages):
+    rows = lambda df: sorted((r.page_id or -1, r.record_type, r.refers_to or -1, r.payload_digest) for r in df.collect())
+    assert rows(warc.read_archives(warc.write_archives(pages, broadcast_rows=0))) == rows(warc.read_archives(warc.write_archives(pages)))
+
+
+def test_dictionary_of_long_pages_only(spark):
+    page = lambda i: "<p>" + "".join(f"<b>entry {i}-{k}</b> lorem ipsum dolor " for k in range(9000)) + "</p>"
+    long = spark.createDataFrame([(i, "u", page(i)) for i in range(12)], "page_id long, url string, html string")
+    data = warc.dictionary(long)
+    assert 0 < len(data) <= warc.DICT_BYTES
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(warc.write_archives(long)).collect()}
+    assert got == {i: page(i) for i in range(12)}
+
+
 def test_empty(spark, pages):
     assert warc.archived(spark, pages.where(F.lit(False))).count() == 0
