@@ -80,13 +80,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Fit on a bounded sample of the labelled rows outside the held-out fifth.
 
     Two thirds of the sample build the dictionaries and a third sets the curve, weighted to
-    the share of each class among all training labels. Without labels of one class the score
-    is that of the other class everywhere, and without any label one half.
+    the share of each class among all training labels. Without labelled documents of both classes
+    nothing can be told apart, and every score is one half.
     """
     rows, counts = labelled_sample(docs, labels, label_col, per_class, most_bytes, id_col, text_col)
     by = {y: [t.encode() for _, t, label in rows if label == y] for y in (0, 1)}
     if not by[0] or not by[1]:
-        return CompressionModel(b"", b"", (0.0,) * 5 + (3.0 if by[1] else -3.0 if by[0] else 0.0,))
+        return CompressionModel(b"", b"")
     build = {y: [t for i, t in enumerate(v) if i % 3] or v for y, v in by.items()}
     curve = {y: v[::3] for y, v in by.items()}
     model = CompressionModel(_dictionary(build[1]), _dictionary(build[0]))
@@ -98,12 +98,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return model
 
 
+def _probabilities(model: CompressionModel, texts) -> pa.Array:
+    buf, bounds = rolling.text_buffer(texts)
+    x = np.array([model.sizes(buf[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]).reshape(-1, 2)
+    return pa.array(model.score(x))
+
+
 def _scores(model: CompressionModel):
     def run(batches):
         for batch in batches:
-            buf, bounds = rolling.text_buffer(batch.column(1))
-            x = np.array([model.sizes(buf[s:e].tobytes()) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _probabilities(model, batch.column(1))], names=["doc_id", "score"])
 
     return run
 
@@ -117,3 +121,9 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
     """
     out = id_text(docs, id_col, text_col).mapInArrow(_scores(model), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: CompressionModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``: one pass, without a join."""
+    probability = F.arrow_udf(lambda texts: _probabilities(model, texts), "double")
+    return docs.where(probability(F.coalesce(docs[text_col], F.lit(""))) >= threshold)

@@ -53,10 +53,22 @@ def test_label_model_discounts_copies():
     one, two = fire(0.7, 0.05), fire(0.7, 0.05)
     noise = fire(0.2, 0.2)
     votes = np.column_stack([one, two, *[noise] * 6]).astype(float)
-    expected = np.array([[0.05] * 2 + [0.2] * 6, [0.7] * 2 + [0.2] * 6])
-    post, rate, corr = toxicity.label_model(votes, 0.2, expected)
+    three = fire(0.6, 0.03)
+    votes = np.column_stack([votes, three, ~(one | two | three)]).astype(float)
+    post, rate, corr = toxicity.label_model(votes, 0.2, np.array([1] * 9 + [-1]))
+    # no label is seen: the rates come from the votes' agreement alone
     assert ((post > 0.5) == y).mean() > 0.88
-    assert corr[2, 3] > 0.9 and abs(rate[1, 0] - 0.7) < 0.1
+    assert corr[2, 3] > 0.9 and abs(rate[1, 0] - 0.7) < 0.1 and abs(rate[0, 0] - 0.05) < 0.05 and abs(rate[1, 8] - 0.6) < 0.1
+
+
+def test_pattern_voters():
+    model = toxicity.ToxicModel([b"idiot", b"^moro"])
+    names = lambda t: {model.voters[i].decode() for i in model.votes(t.encode())}
+    assert names("a calm text") == names("") == {"!none"}
+    assert names("you utter idiot") == {"idiot", "!person"} and names("the idiot said that he saw you") == {"idiot"}
+    assert names("an IDIOT and a moron!!!") == {"idiot", "^moro", "!several", "!marks"}
+    assert names("WHAT A TERRIBLE SHOUTED TEXT") == {"!none", "!capitals"} and "!drawn" in names("soooo")
+    assert model.votes(b"\xff\xfe idiot") == [0]
 
 
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
@@ -76,9 +88,11 @@ def test_one_giant_labelled_text_leaves_the_rest_of_its_class(spark, module, lab
         assert (scored.predicted == scored[label]).mean() > 0.95
 
 
-def test_labels_without_texts_are_an_error(spark, empty):
+def test_labels_without_documents(spark, empty):
     docs = spark.createDataFrame([(i, "some words") for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i + 20 * (i % 2), i % 2) for i in range(20)], "doc_id long, quality int")
-    with pytest.raises(ValueError, match="class"):
-        quality.fit(docs, labels)
-    assert quality.score(empty, quality.fit(empty, labels)).count() == 0
+    for d in (docs, empty):
+        assert {r.score for r in quality.score(docs, quality.fit(d, labels)).collect()} == {0.5}
+    assert quality.accepted(docs, quality.fit(docs, labels)).count() == 20
+    with pytest.raises(ValueError, match="fits"):
+        labelled_sample(docs, labels, "quality", 10, 5)
