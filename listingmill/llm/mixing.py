@@ -137,31 +137,36 @@ def _within(table: np.ndarray, weight: np.ndarray, keep_share: float | None) ->
     return weight, factor
 
 
-def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 17, keep_share: float | None = 0.5) -> DataFrame:
-    """doc_id, n_tokens, weight (raked over observed tokens of its cell), probability, draw, sampled of every row.
+@dataclass(frozen=True)
+class Mix:
+    """Fitted weights by cell, and the expression that finds a row's cell."""
 
-    ``probability`` is ``weight`` times a factor, at most 1. ``keep_share`` sets the expected share
-    of all tokens kept. Weights are raked under the bound of 1, so the kept tokens meet all
-    targets where that share allows it. A value with fewer tokens than its target is kept whole and
-    the other values share out the rest; where even that has no solution, weights are cut to a probability of 1 and fall
-    short. With None the factor makes the largest weight just certain to stay, which keeps all
-    targets exact in expectation but may keep little.
-    ``draw`` is a number in [0, 1) from a hash of the id; a row is sampled if it is less than
-    the probability. Tokens are words between white space.
+    cell: Column
+    n_tokens: Column
+    weights: tuple[float, ...]
+    factor: float
+    seed: int
 
-    Defined cases: a null text has no tokens and topic prose; its row is drawn like others of
-    its cell (with weight 1 where the cell has no tokens); null source or language counts as a
-    value without target; rows that share an id are drawn alike; a null id is drawn as such;
-    other columns, of any name, are not read; an empty table gives an empty result.
-    """
+    def weight(self, cell: Column) -> Column:
+        return F.get(F.array(*[F.lit(x) for x in self.weights]), cell)
+
+    def probability(self, cell: Column) -> Column:
+        return F.least(F.lit(1.0), self.weight(cell) * self.factor)
+
+    def draw(self, doc_id: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(doc_id.cast("long").cast("string"), F.lit(self.seed)), 11).cast("double") / float(1 << 53)
+
+
+def _fit(docs: DataFrame, targets: Targets, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None, seed: int, keep_share: float | None) -> tuple[Mix, DataFrame]:
+    """The fitted mix, and (doc_id, cell, n_tokens) of every row, written."""
     text = F.coalesce(docs[text_col], F.lit(""))
     kinds = {"source": docs[source_col], "lang": docs[lang_col], "topic": topic if topic is not None else topic_of(text)}
     values = {k: [*targets.of(k), OTHER] for k in kinds}
     place = lambda k, c: F.coalesce(*[F.when(c == v, F.lit(i)) for i, v in enumerate(values[k][:-1])], F.lit(len(values[k]) - 1))
     strides = np.cumprod([1, *(len(values[k]) for k in list(kinds)[::-1][:-1])])[::-1]
-    cell = sum((place(k, c) * int(s) for (k, c), s in zip(kinds.items(), strides, strict=True)), F.lit(0))
-    own = docs.select(docs[id_col].alias("doc_id"), cell.cast("int").alias("cell"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_tokens"))
-    own = materialize(own, "cells")  # three numbers a row: texts are read once
+    cell = sum((place(k, c) * int(s) for (k, c), s in zip(kinds.items(), strides, strict=True)), F.lit(0)).cast("int")
+    n_tokens = F.regexp_count(text, F.lit(WORD)).cast("long")
+    own = materialize(docs.select(docs[id_col].cast("long").alias("doc_id"), cell.alias("cell"), n_tokens.alias("n_tokens")), "cells")  # three numbers a row
 
     shape = [len(values[k]) for k in kinds]
     table = np.zeros(int(np.prod(shape)))
@@ -174,8 +179,32 @@ def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_
     else:
         weight = np.ones(table.size)
     weight, factor = _within(table, weight.reshape(shape), keep_share)
-    weight = weight.ravel()
-    w = F.get(F.array(*[F.lit(float(x)) for x in weight]), F.col("cell"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), 11).cast("double") / float(1 << 53)
-    out = own.select("doc_id", "n_tokens", w.alias("weight"), draw.alias("draw")).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * factor))
-    return out.select("doc_id", "n_tokens", "weight", "probability", "draw", (F.col("draw") < F.col("probability")).alias("sampled"))
+    return Mix(cell, n_tokens, tuple(float(x) for x in weight.ravel()), float(factor), seed), own
+
+
+def mix_sources(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 17, keep_share: float | None = 0.5) -> DataFrame:
+    """doc_id, n_tokens, weight (raked over observed tokens of its cell), probability, draw, sampled of every row.
+
+    ``probability`` is ``weight`` times a factor, at most 1. ``keep_share`` sets the expected share
+    of all tokens kept. Weights are raked under the bound of 1, so the kept tokens meet all
+    targets where that share allows it. A value with fewer tokens than its target is kept whole and
+    the other values share out the rest; where even that has no solution, weights are cut to a probability of 1 and fall
+    short. With None the factor makes the largest weight just certain to stay, which keeps all
+    targets exact in expectation but may keep little.
+    ``draw`` is a number in [0, 1) from a hash of the id; a row is sampled if it is less than
+    the probability. Tokens are words between white space.
+
+    Defined cases: a null text has no tokens and topic prose; its row is drawn like others of
+    its cell (with weight 1 where the cell has no tokens); null source or language counts as a
+    value without target; rows that share an id are drawn alike; a null id is drawn as such;
+    other columns, of any name, are not read; an empty table gives an empty result.
+    """
+    mix, own = _fit(docs, targets, id_col, text_col, source_col, lang_col, topic, seed, keep_share)
+    out = own.select("doc_id", "n_tokens", mix.weight(F.col("cell")).alias("weight"), mix.probability(F.col("cell")).alias("probability"), mix.draw(F.col("doc_id")).alias("draw"))
+    return out.withColumn("sampled", F.coalesce(F.col("draw") < F.col("probability"), F.lit(False)))
+
+
+def sampled(docs: DataFrame, targets: Targets = DEFAULT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, seed: int = 17, keep_share: float | None = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``mix_sources`` marks as sampled: a filter, without a join."""
+    mix, _ = _fit(docs, targets, id_col, text_col, source_col, lang_col, topic, seed, keep_share)
+    return docs.where(mix.draw(docs[id_col]) < mix.probability(mix.cell))
