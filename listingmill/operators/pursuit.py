@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN_STAGES = ("inbox", "shortlist", "contacted", "nda", "cim", "call", "loi", "diligence", "offer")
@@ -51,8 +51,9 @@ def title_cue(subject: Column) -> Column:
 def match_events(events: DataFrame, deals: DataFrame, least: float = 0.45, candidates: int = 2000) -> DataFrame:
     """(event_id, deal_id, score, how): a deal by its number, else by the words of its title.
 
-    ``deals`` are the open ones last seen, at most ``candidates`` (the operator's own top-k), so
-    what is broadcast has a bound. Titles meet cues through shared words, not all pairs.
+    ``deals`` are the open ones last seen, at most ``candidates`` (the operator's own top-k). Titles meet
+    cues through shared words, not all pairs. No side is marked for broadcast: Spark takes
+    one where it finds it small.
     """
     d = deals.where(F.col("stage").isin(*OPEN_STAGES)).orderBy(F.desc("last_seen"), "id").limit(candidates)
     d = d.select("id", "title", F.concat_ws(" ", "url", "ext_id", "title").alias("hay"), F.struct((-F.unix_seconds("last_seen")).alias("age"), F.col("id").alias("tie")).alias("place"))
@@ -60,13 +61,15 @@ def match_events(events: DataFrame, deals: DataFrame, least: float = 0.45, candi
     digits = d.select("id", "place", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"(\d{5,})"), 1))).alias("run"))
     # a number may be part of a longer run of digits, so each run is indexed under all parts of five digits
     grams = digits.select("id", "place", "run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 4), lambda i: F.substring("run", i, 5)))).alias("gram"))
-    numbered = e.where("number IS NOT NULL").select("event_id", "number", F.substring("number", 1, 5).alias("gram"))
-    by_number = numbered.join(F.broadcast(grams), "gram").where(F.contains("run", F.col("number"))).groupBy("event_id").agg(F.min_by("id", "place").alias("number_id"))
-    words = d.select("id", "place", F.col("title"), F.explode(title_tokens(F.col("title"))).alias("word"))
-    cues = e.where(F.length("cue") >= 6).select("event_id", F.size(title_tokens(F.col("cue"))).alias("n"), F.explode(title_tokens(F.col("cue"))).alias("word"))
-    hits = cues.join(F.broadcast(words), "word").groupBy("event_id", "id").agg((F.count("*") / F.first("n")).alias("score"), F.first("place").alias("place"))
-    w = Window.partitionBy("event_id").orderBy(F.desc("score"), "place")
-    by_title = hits.where(F.col("score") >= least).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("event_id", F.col("id").alias("title_id"), F.col("score").alias("title_score"))
-    j = e.select("event_id", "number").join(by_number, "event_id", "left").join(by_title, "event_id", "left")
+    numbered = e.where("number IS NOT NULL").select("number", F.substring("number", 1, 5).alias("gram")).distinct()
+    by_number = numbered.join(grams, "gram").where(F.contains("run", F.col("number"))).groupBy("number").agg(F.min_by("id", "place").alias("number_id"))
+    words = d.select("id", "place", F.explode(title_tokens(F.col("title"))).alias("word"))
+    # events repeat their cues: each different one is scored once, and only cues and titles that share a word meet
+    cues = e.where(F.length("cue") >= 6).select("cue").distinct().withColumn("words", title_tokens(F.col("cue")))
+    met = cues.select("cue", F.size("words").alias("n"), F.explode("words").alias("word")).join(words, "word")
+    hits = met.groupBy("cue", "id").agg((F.count("*") / F.first("n")).alias("score"), F.first("place").alias("place"))
+    best = F.max(F.struct("score", (-F.col("place.age")).alias("recent"), (-F.col("id")).alias("tie"), "id")).alias("best")
+    by_title = hits.where(F.col("score") >= least).groupBy("cue").agg(best).select("cue", F.col("best.id").alias("title_id"), F.col("best.score").alias("title_score"))
+    j = e.select("event_id", "number", "cue").join(by_number, "number", "left").join(by_title, "cue", "left")
     by = F.col("number_id").isNotNull()
     return j.select("event_id", F.coalesce("number_id", "title_id").alias("deal_id"), F.when(by, 1.0).otherwise(F.col("title_score")).alias("score"), F.when(by, "number").when(F.col("title_id").isNotNull(), "title").otherwise("unmatched").alias("how"))
