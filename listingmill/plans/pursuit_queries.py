@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 _SUBJECT = "CASE event_id % 6 WHEN 0 THEN 'Signature requested on Plumbing Company' WHEN 1 THEN 'You signed: Roofing Contractor' WHEN 2 THEN 'Attached is our CIM for your review' WHEN 3 THEN 'Bob acted on Water Treatment' WHEN 4 THEN 'Schedule a call' ELSE 'hello there' END"
 
 
-@query("crm_classify", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'nda_available' WHEN 1 THEN 'nda_signed' WHEN 2 THEN CASE WHEN event_id % 4 = 0 THEN 'cim_received' END WHEN 3 THEN 'interest_logged' WHEN 4 THEN 'call_request' END AS kind FROM events")
+@query("event_kind", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'nda_available' WHEN 1 THEN 'nda_signed' WHEN 2 THEN CASE WHEN event_id % 4 = 0 THEN 'cim_received' END WHEN 3 THEN 'interest_logged' WHEN 4 THEN 'call_request' END AS kind FROM events")
 def _classify(s, d):
     e = p.spark_view(s, d, f"SELECT event_id, {_SUBJECT} AS subject FROM {{events}}")
     return e.select("event_id", pursuit.classify_event(F.col("subject"), F.lit(""), F.col("event_id") % 4 == 0).alias("kind"))

@@ -73,3 +73,38 @@ def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Saved bodies: what follows the line of 72 equal signs in each file."""
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
     return raw.select("file", F.coalesce(F.get(F.split("value", "={72}\\n?", 2), F.lit(1)), F.col("value")).alias("body"))
+
+
+THREAD = "messages array<struct<id:string,sender:string,subject:string,date:string,plaintextBody:string,htmlBody:string>>"
+
+
+def read_threads(spark: SparkSession, path: str, wanted: DataFrame | None = None, pattern: str = "*get_thread*.txt") -> DataFrame:
+    """Messages of saved threads (one JSON document a file), those whose id is in ``wanted`` (msg_id, name) under its name; all without it."""
+    from listingmill.functions.mail import best_body
+
+    docs = spark.read.schema(THREAD).option("multiLine", True).option("pathGlobFilter", pattern).json(path)
+    m = docs.select(F.explode("messages").alias("m")).select("m.*")
+    m = m.select(F.col("id").alias("msg_id"), "sender", "subject", F.col("date").alias("received"), best_body(F.col("plaintextBody"), F.col("htmlBody")).alias("body"))
+    return m if wanted is None else m.join(wanted, "msg_id").withColumn("msg_id", F.col("name")).drop("name")
+
+
+def newer_than(messages: DataFrame, days: int, now: Column, received: str = "received") -> DataFrame:
+    """Messages whose date, as mail headers write it or in ISO form, lies at most so many days before ``now``; those without a readable date are left out."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(received), r"^[A-Za-z]{3},\s*", ""), r"\s*\([^)]*\)$", "")
+    at = F.coalesce(F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(F.trim(received)))
+    return messages.where(at >= now - F.make_dt_interval(F.lit(days)))
+
+
+def import_folder(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
+    """Rows of the CSV files of a folder whose names are not in ``seen`` (file), each with its file's name."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    fresh = [r["path"] for r in names.join(seen.select("file"), "file", "left_anti").select("path").collect()]  # names of new files: what a person has dropped since
+    parts = [read_csv(spark, f).withColumn("file", F.lit(f.rsplit("/", 1)[-1])) for f in sorted(fresh)]
+    out = None
+    for part_ in parts:
+        out = part_ if out is None else out.unionByName(part_, allowMissingColumns=True)
+    return out if out is not None else read_csv_empty(spark)
+
+
+def read_csv_empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "ext_id string, title string, url string, state string, blurb string, needs_llm array<string>, revenue double, ebitda double, sde double, asking double, file string")

@@ -31,3 +31,18 @@ def write_survey(matched: DataFrame, path: str) -> None:
     slim = matched.drop("body")
     slim.write.mode("overwrite").json(f"{path}/json")
     slim.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def catalog_maps(formats: DataFrame) -> DataFrame:
+    """One row with by_email (address to format) and by_domain (domain to its formats) of the catalog (id, source, sub_source), which is configuration."""
+    address = F.when(F.contains("sub_source", F.lit("@")) & ~F.startswith("sub_source", F.lit("*")), F.lower("sub_source"))
+    by_email = formats.withColumn("_a", address).where("_a IS NOT NULL").groupBy("_a").agg(F.max("id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("_a", "id"))).alias("by_email"))
+    by_domain = formats.where("source <> ''").groupBy(F.lower("source").alias("_d")).agg(F.sort_array(F.collect_list("id")).alias("ids")).agg(F.map_from_entries(F.collect_list(F.struct("_d", "ids"))).alias("by_domain"))
+    return by_email.join(by_domain)
+
+
+def write_catalog(formats: DataFrame, subcategories: DataFrame, path: str) -> None:
+    """The catalog's slim JSON: formats, subcategories, and the two maps, each in a folder of JSON lines."""
+    formats.write.mode("overwrite").json(f"{path}/formats")
+    subcategories.write.mode("overwrite").json(f"{path}/subcategories")
+    catalog_maps(formats).write.mode("overwrite").json(f"{path}/maps")
