@@ -63,9 +63,9 @@ def _sets(s, d):
     return li.select("id", F.concat(F.lit("["), F.array_join(F.array_sort(queues.append_absent(F.col("a"), F.col("b"))).cast("array<string>"), ", "), F.lit("]")).alias("merged"))
 
 
-@query("signal_counts", f"""WITH {_D}, m AS (SELECT split_part(ext_id, ':', 2) AS msg_id, count(*) AS n, max(asking IS NOT NULL) AS ask FROM deals WHERE {_SOME} GROUP BY 1) SELECT count(*) AS messages, count(*) FILTER (ask) AS has_asking_price, count(*) AS has_money, 0::BIGINT AS has_nda FROM m""")
+@query("signal_counts", f"""WITH {_D}, m AS (SELECT split_part(ext_id, ':', 2) AS msg_id, count(*) AS n, max(asking IS NOT NULL) AS ask FROM deals WHERE {_SOME} GROUP BY 1) SELECT count(*) AS messages, count(*) FILTER (ask) AS has_asking_price, count(*) AS has_money, 0::BIGINT AS has_nda, 0::BIGINT AS has_new_business_matches, 0::BIGINT AS has_match_search_criteria, 0::BIGINT AS has_in_todays_issue, 0::BIGINT AS has_new_listing, 0::BIGINT AS has_franchise_section, 0::BIGINT AS numbered_items FROM m""")
 def _signals(s, d):
-    return queues.signals(p.messages(s, d)).agg(F.count("*").alias("messages"), *[F.count_if(c).alias(c) for c in ("has_asking_price", "has_money", "has_nda")])
+    return queues.signals(p.messages(s, d)).agg(F.count("*").alias("messages"), *[F.count_if(c).alias(c) for c in queues.SIGNALS], F.sum("numbered_items").alias("numbered_items"))
 
 
 @query("field_presence", f"""WITH {_D}, m AS (SELECT split_part(ext_id, ':', 2) AS msg_id, min(id) AS seq, max(revenue IS NOT NULL)::INT AS r, max(ebitda IS NOT NULL)::INT AS e, max(sde IS NOT NULL)::INT AS c FROM deals WHERE {_SOME} GROUP BY 1)
@@ -94,10 +94,14 @@ def _skip(s, d):
     return queues.mark_skips(x, marks).select("id", "rejected", F.col("reject_reason").alias("reason"))
 
 
-@query("inspect_flag", f"WITH {_O} SELECT event_id, CASE intent WHEN 'listing' THEN 'ebitda|sde|revenue|asking|expected_fields.absent|gotchas' WHEN 'criteria' THEN 'location|city|state|county|detect.body_open|gotchas' ELSE 'gotchas|detect|expected_fields' END AS focus, left('Train (' || intent || '): ' || member, 280) AS suggested FROM outreach")
+_REASONS = ("EBITDA, Rev, Asking Price", "Location", "Blurb", "Duplicate listing", "Not a real deal", "Other", "unheard of")
+_FOCUS = ("ebitda|sde|revenue|asking|expected_fields.absent|gotchas", "location|city|state|county|detect.body_open|gotchas", "title|blurb|detect.subject_patterns|gotchas", "dedupe|ext_id|url", "email_type|status|split|control", "gotchas|detect|expected_fields", "gotchas|detect|expected_fields")
+
+
+@query("inspect_flag", f"SELECT event_id, {p.pick('event_id', _FOCUS)} AS focus, left('Train (' || {p.pick('event_id', _REASONS)} || '): ' || CASE WHEN event_id % 3 = 0 THEN 'the deal' ELSE repeat('word ', 70) END, 280) AS suggested FROM events")
 def _inspect(s, d):
-    reason = F.when(F.col("intent") == "listing", "figures").when(F.col("intent") == "criteria", "location").otherwise("other")
-    return p.outreach(s, d).select("event_id", F.array_join(queues.focus_fields(reason), "|").alias("focus"), queues.suggested_note(F.col("intent"), F.col("member"), F.lit("x")).alias("suggested"))
+    e = p.spark_view(s, d, f"SELECT event_id, {p.pick('event_id', _REASONS)} AS reason, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE repeat('word ', 70) END AS detail FROM {{events}}")
+    return e.select("event_id", F.array_join(queues.focus_fields(F.col("reason")), "|").alias("focus"), queues.suggested_note(F.col("reason"), F.col("detail"), F.lit("the deal")).alias("suggested"))
 
 
 @query("format_of_deal", f"WITH {_D} SELECT id, CASE source WHEN 'alpha.example' THEN 'alpha.digest' WHEN 'beta.example' THEN 'beta.teaser' ELSE 'letters.weekly' END AS format_id FROM deals")

@@ -18,47 +18,129 @@ def listings(spark, n=60, seed=0):
     return spark.createDataFrame(rows, "seq long, ext_id string, title string, url string, city string, state string, county string, revenue double, ebitda double, sde double, asking double")
 
 
-def whole_fold(rows):
-    """The fold as a scan of all kept rows for each row in order."""
-    earn = lambda r: r["sde"] if r["ebitda"] is None else r["ebitda"]
+def clean(title):
+    return "".join(c for c in (title or "").lower() if c == " " or "a" <= c <= "z")
+
+
+def mark(r):
+    earn = r["sde"] if r["ebitda"] is None else r["ebitda"]
     band = lambda v, step: (int(v / step) or -1) if v else -1
-    mark = lambda r: (r["state"], band(r["revenue"], 250_000), band(earn(r), 100_000))
-    kept = []
-    for r in rows:
-        r = dict(r, members=[r["ext_id"]])
+    return (r["state"], band(r["revenue"], 250_000), band(earn, 100_000)) if earn and r["state"] else None
+
+
+def same(r, k):
+    return bool(r["norm"] and r["norm"] == k["norm"]) or bool(mark(r) and mark(r) == mark(k)) or bool(r["state"] and r["state"] == k["state"] and resolve.alike(clean(r["title"]), clean(k["title"])))
+
+
+def whole_fold(rows):
+    """The fold as scans of all kept rows for each row in order, repeated over what is kept until nothing merges."""
+    now = [dict(r, members=[r["seq"]]) for r in rows]
+    while True:
+        kept, groups = [], {}
+        for r in now:
+            hit = next((k for k in kept if same(r, k)), None)
+            if hit is None:
+                kept.append(r)
+            groups.setdefault((hit or r)["seq"], []).append(r)
+        after = []
         for k in kept:
-            url = r["url"] and r["norm"] and r["norm"] == k["norm"]
-            economic = earn(r) and earn(k) and r["state"] and mark(r) == mark(k)
-            title = r["state"] and r["state"] == k["state"] and resolve.alike(resolve.cleaned(r["title"]), resolve.cleaned(k["title"]))
-            if url or economic or title:
-                k["members"].append(r["ext_id"])
-                for f in resolve.MERGED:
-                    if k[f] is None:
-                        k[f] = r[f]
-                if not k["url"] and r["url"]:
-                    k["url"], k["norm"] = r["url"], r["norm"]
-                break
-        else:
-            kept.append(r)
-    return sorted((k["ext_id"], tuple(k["members"]), k["state"], k["revenue"]) for k in kept)
-
-
-@pytest.mark.parametrize("seed", range(4))
-def test_fold_by_component_equals_whole_fold(spark, seed):
+            merged = dict(k)
+            for r in groups[k["seq"]][1:]:
+                merged["members"] = merged["members"] + r["members"]
+                for f in (*resolve.MERGED, "url", "norm"):
+                    merged[f] = r[f] if merged[f] in (None, "") else merged[f]
+            after.append(merged)
+        if len(after) == len(now):
+            return sorted((k["ext_id"], tuple(sorted(k["members"])), k["state"], k["revenue"]) for k in after)
+        now = after
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fold_by_rounds_equals_scans(spark, seed):
     df = listings(spark, seed=seed)
     from listingmill.functions.urls import norm_url
 
     want = whole_fold([r.asDict() for r in df.withColumn("norm", norm_url(F.col("url"))).orderBy("seq").collect()])
-    got = sorted((r.ext_id, tuple(r.members), r.state, r.revenue) for r in resolve.dedupe_fold(df).collect())
-    assert got == want
+    kept, of = resolve.dedupe_fold(df)
+    members = {}
+    for r in of.collect():
+        members.setdefault(r.kept_seq, []).append(r.seq)
+    got = sorted((r.ext_id, tuple(sorted(members[r.seq])), r.state, r.revenue) for r in kept.collect())
+    assert got == want and all(r.n_merged == len(members[r.seq]) - 1 for r in kept.collect())
+
+
+def test_fold_of_a_follow_up(spark):
+    """A later mail that discloses earnings, under a shorter title, is the same listing."""
+    kind = "seq long, ext_id string, title string, url string, city string, state string, county string, revenue double, ebitda double, sde double, asking double"
+    rows = [(0, "a", "Established HVAC & Plumbing Company, Full Service Residential and Commercial", "https://x.example/1", None, "TX", None, None, None, None, 9e5), (1, "b", "Established HVAC & Plumbing Company", None, "Waco", "TX", None, 2e6, 4e5, None, None), (2, "c", "Parts Maker", None, None, "OK", None, None, None, None, None)]
+    kept, _ = resolve.dedupe_fold(spark.createDataFrame(rows, kind))
+    assert sorted((r.ext_id, r.city, r.ebitda, r.asking, r.n_merged) for r in kept.collect()) == [("a", "Waco", 4e5, 9e5, 1), ("c", None, None, None, 0)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_dedupe_keys_equals_connected_groups(spark, seed):
+    df = listings(spark, 40, seed)
+    from listingmill.functions.urls import norm_url
+
+    rows = [r.asDict() for r in df.withColumn("norm", norm_url(F.col("url"))).orderBy("seq").collect()]
+    group = {r["seq"]: r["seq"] for r in rows}
+    while True:
+        before = dict(group)
+        for r in rows:
+            for k in rows:
+                if same(r, k) or same(k, r):
+                    group[r["seq"]] = group[k["seq"]] = min(group[r["seq"]], group[k["seq"]])
+        if group == before:
+            break
+    assert {r.seq: r.component for r in resolve.dedupe_keys(df).collect()} == group
 
 
-def test_dedupe_keys_joins_copies(spark):
-    df = listings(spark)
-    twice = df.union(df.withColumn("seq", F.col("seq") + 1000))
-    groups = {r.seq: r.component for r in resolve.dedupe_keys(twice).collect()}
-    keyed = {r.seq for r in df.where("url <> '' OR (state IS NOT NULL)").collect()}
-    assert all(groups[s] == groups[s + 1000] for s in keyed)
+def test_components_of_a_long_chain(spark):
+    links = spark.range(600).selectExpr("id AS n", "cast(id div 2 as string) AS a", "cast((id + 1) div 2 as string) AS b")
+    assert {r.component for r in resolve.components(links, "n", ["a", "b"]).collect()} == {0}
+
+
+def test_similar_titles_equal_all_pairs(spark):
+    r = random.Random(1)
+    words = "established plumbing company water testing lab roofing contractor parts maker of texas the".split()
+    titles = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 5))) + r.choice(["", " ", "x"]) for _ in range(150)} | {"", "a", "ab"})
+    df = spark.createDataFrame([("TX", t) for t in titles], "state string, t string")
+    got = {(x.a, x.b) for x in resolve.similar_titles(df, df).collect()}
+    assert got == {(a, b) for a in titles for b in titles if a != b and resolve.alike(a, b)}
+
+
+def test_upsert_stored_row_by_row(spark):
+    """Against writes one by one: replacement by the same mail, clearing by a sole source, filling by others."""
+    kind = "id long, ext_id string, title string, url string, blurb string, source string, sub_source string, nickname string, city string, state string, county string, revenue double, ebitda double, sde double, asking double, business_model_type string, needs_text string, first_seen timestamp, last_seen timestamp, times_seen int"
+    at = [None, None, 1]
+    stored = spark.createDataFrame([(1, "m1:0", "Water Lab", "https://x.example/1", "b", "s", None, None, None, "TX", None, 1e6, 2e5, None, 5e5, "", "[]", *at), (2, "m2:0", "Parts Maker", None, "b", "s", None, None, "Tulsa", "OK", None, None, None, None, None, "", "[]", *at), (3, "m3:0", "Established Roofing Contractor", None, "b", "s", None, None, None, "TX", None, None, None, None, 7e5, "", "[]", *at)], kind)
+    refs = spark.createDataFrame([(1, "s", "m1", "u", None), (2, "s", "m2", "u", None), (2, "s", "m9", "u", None), (3, "s", "m3", "u", None)], "deal_id long, source string, msg_id string, url string, seen_at timestamp")
+    names = "seq long, source_msg string, " + kind.split("id long, ", 1)[1].split(", first_seen")[0]
+    rows = [
+        (0, "m1", "m1:0", "Water Laboratory", None, "", "s", None, None, "Waco", "TX", None, None, 3e5, None, 5e5, "NATIONAL", "[]"),  # repeat of a sole source: revenue cleared
+        (1, "m2", "m2:0", "Parts Maker", "https://x.example/2", "b2", "s", None, None, None, "OK", None, None, None, None, None, "", "[]"),  # repeat, but two mails: nothing cleared
+        (2, "m7", "m7:0", "Established Roofing Contractor of Note", None, "b", "t", "t@t.example", None, "Austin", "TX", None, 3e6, 4e5, None, 8e5, "", "[]"),  # like title
+        (3, "m8", "m8:0", "Quite another one", "https://x.example/9", "b", "t", None, None, None, "TX", None, None, None, 1e5, None, "", "[]"),  # new
+        (4, "m6", "m6:0", "Anything", "https://x.example/1/?utm_source=z", "b", "t", None, None, "Elsewhere", "TX", None, 9e6, None, None, None, "", "[]"),  # same address: fills
+    ]
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    deals, mentions = resolve.upsert_stored(stored, refs, spark.createDataFrame(rows, names), now)
+    got = {r.ext_id: r for r in deals.collect()}
+    assert (got["m1:0"].title, got["m1:0"].revenue, got["m1:0"].ebitda, got["m1:0"].asking, got["m1:0"].city, got["m1:0"].blurb, got["m1:0"].times_seen) == ("Water Laboratory", 9e6, 3e5, 5e5, "Waco", "b", 3)
+    assert (got["m2:0"].city, got["m2:0"].blurb, got["m2:0"].url, got["m2:0"].times_seen) == ("Tulsa", "b2", "https://x.example/2", 2)
+    assert (got["m3:0"].title, got["m3:0"].revenue, got["m3:0"].asking, got["m3:0"].city, got["m3:0"].sub_source, got["m3:0"].times_seen) == ("Established Roofing Contractor", 3e6, 7e5, "Austin", "t@t.example", 2)
+    assert len(got) == 4 and got["m8:0"].sde == 1e5 and got["m8:0"].id > 3 and got["m8:0"].times_seen == 1
+    said = {(r.deal_id, r.msg_id) for r in mentions.collect()}
+    assert said >= {(1, "m6"), (3, "m7"), (got["m8:0"].id, "m8")} and len(said) == 7
+
+
+def test_formats_with_several_senders_and_places_of_signals(spark):
+    f = formats.Format("x.all", "x", domains=("one.example",), source="two.example", sub_source="*@three.example", signals=(("s", "deal", 7, "subject"), ("o", "deal", 11, "open"), ("b", "deal", 13, "body")))
+    cat = formats.Catalog(formats=(f,))
+    rows = [("a@one.example", "hi", "x"), ("a@mail.two.example", "a deal", "x"), ("a@three.example", "hi", "intro\n\ndeal"), ("a@four.example", "deal", "deal"), ("a@two.example", "hi", "deal first\n\nrest")]
+    out = formats.match_formats(spark.createDataFrame(rows, "sender string, subject string, body string"), cat)
+    points = {(r.sender, r.subject): r.format_score for r in out.collect()}
+    assert points == {("a@one.example", "hi"): 20, ("a@mail.two.example", "a deal"): 20 + 7 + 13, ("a@three.example", "hi"): 20 + 13, ("a@four.example", "deal"): None, ("a@two.example", "hi"): 20 + 11 + 13}
 
 
 def test_upsert_is_idempotent(spark):
@@ -149,3 +231,40 @@ def test_stream_upsert_over_two_runs(spark, tmp_path):
     run()
     run()
     assert sorted((r.k, r.v) for r in jobs.latest_version(spark, table).collect()) == [(1, "c"), (2, "b")]
+
+
+def test_threads_dates_and_import_folder(spark, tmp_path):
+    doc = {"messages": [{"id": "1", "sender": "a", "subject": "s", "date": "Mon, 5 Jan 2026 10:00:00 +0100", "plaintextBody": "null", "htmlBody": "<p>x</p>"}, {"id": "2", "sender": "b", "subject": "t", "date": "2026-01-01 00:00:00", "plaintextBody": "plain", "htmlBody": None}, {"id": "3", "sender": "c", "subject": "u", "date": "whenever", "plaintextBody": "y", "htmlBody": None}]}
+    (tmp_path / "q_get_thread_1.txt").write_text(json.dumps(doc))
+    (tmp_path / "other.txt").write_text("not json")
+    wanted = spark.createDataFrame([("1", "first"), ("9", "none")], "msg_id string, name string")
+    assert [(r.msg_id, r.body) for r in readers.read_threads(spark, str(tmp_path), wanted).collect()] == [("first", "x")]
+    every = readers.read_threads(spark, str(tmp_path))
+    assert every.count() == 3
+    now = F.lit("2026-01-06 00:00:00").cast("timestamp")
+    assert [r.msg_id for r in readers.newer_than(every, 3, now).collect()] == ["1"]
+    assert {r.msg_id for r in readers.newer_than(every, 30, now).collect()} == {"1", "2"}
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("title,url,revenue\nOne,https://x.example/" + name + ',"$1,000"\n')
+    seen = spark.createDataFrame([("a.csv",)], "file string")
+    assert [(r.file, r.revenue) for r in readers.import_folder(spark, str(tmp_path), seen).collect()] == [("b.csv", 1000.0)]
+    assert readers.import_folder(spark, str(tmp_path), spark.createDataFrame([("a.csv",), ("b.csv",)], "file string")).count() == 0
+
+
+def test_places_in_text(spark):
+    from listingmill.functions.places import location
+
+    cases = {
+        "Location: Austin, TX": ("Austin", "TX", None), "in North Little Rock, AR area": ("North Little Rock", "AR", None), "Travis County, TX": (None, "TX", "Travis"), "a\nSan Antonio, TX\nWaco, TX": ("San Antonio", "TX", None),
+        "Toronto, ON": (None, None, None), "somewhere in TX": (None, "TX", None), "in new mexico": (None, "NM", None), "nothing": (None, None, None), "Oak Hill, ZZ then Tulsa, OK": ("Tulsa", "OK", None), "A/B, TX": ("A/B", "TX", None), "(Dallas, TX)": ("Dallas", "TX", None), "": (None, None, None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", location(F.col("t")).alias("r"))
+    assert {r.t: (r.r.city, r.r.state, r.r.county) for r in df.collect()} == cases
+
+
+def test_forwarded_mail(spark):
+    from listingmill.functions import mail
+
+    body = "see below\n\n---------- Forwarded message ---------\nFrom: Ann <ann@alpha.example>\nDate: x\nSubject: y\n\nThe text\nFrom: here on"
+    df = spark.createDataFrame([(body,), ("plain",), (None,)], "b string").select(mail.forwarded_from(F.col("b")).alias("f"), mail.without_forward_header(F.col("b")).alias("w"))
+    assert [(r.f, r.w) for r in df.collect()] == [("Ann <ann@alpha.example>", "\nThe text\nFrom: here on"), ("", "plain"), ("", "")]
