@@ -121,7 +121,7 @@ def test_upsert_stored_row_by_row(spark):
         (1, "m2", "m2:0", "Parts Maker", "https://x.example/2", "b2", "s", None, None, None, "OK", None, None, None, None, None, "", "[]"),  # repeat, but two mails: nothing cleared
         (2, "m7", "m7:0", "Established Roofing Contractor of Note", None, "b", "t", "t@t.example", None, "Austin", "TX", None, 3e6, 4e5, None, 8e5, "", "[]"),  # like title
         (3, "m8", "m8:0", "Quite another one", "https://x.example/9", "b", "t", None, None, None, "TX", None, None, None, 1e5, None, "", "[]"),  # new
-        (4, "m6", "m6:0", "Anything", "https://x.example/1/?utm_source=z", "b", "t", None, None, "Elsewhere", "TX", None, 9e6, None, None, None, "", "[]"),  # same address: fills
+        (4, "m6", "m6:0", "Anything", "https://x.example/1?utm_source=z", "b", "t", None, None, "Elsewhere", "TX", None, 9e6, None, None, None, "", "[]"),  # same address: fills
     ]
     now = F.lit("2026-01-01 00:00:00").cast("timestamp")
     deals, mentions = resolve.upsert_stored(stored, refs, spark.createDataFrame(rows, names), now)
