@@ -28,7 +28,7 @@ from listingmill.llm import rolling
 from listingmill.llm.common import BROADCAST_ROWS, id_text, materialize
 
 #: Windows that a map task gathers before it sends a block.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes of text whose windows share a bucket, on average.
 BUCKET_BYTES = 4 << 20
 #: Buckets, or ranges of buckets, that one exchange deals blocks to at most.
