@@ -77,7 +77,7 @@ def _unknown(s, d):
 @query("ledger_anti", f"WITH {_VD} SELECT DISTINCT file FROM verdicts WHERE file NOT IN ('log1.json', 'log3.json')")
 def _ledger(s, d):
     seen = s.createDataFrame([("log1.json",), ("log3.json",)], "file string")
-    return p.verdicts(s, d).select("file").distinct().join(F.broadcast(seen), "file", "left_anti")
+    return p.verdicts(s, d).select("file").distinct().join(seen, "file", "left_anti")
 
 
 @query("verdict_overlay", f"WITH {_VD}, {_LAST}, own AS (SELECT deal_id, arg_max(action, pos) AS edit FROM verdicts WHERE member = 'ann' AND pos % 7 = 0 AND action IS NOT NULL GROUP BY deal_id) SELECT l.deal_id, l.member, CASE WHEN l.member = 'ann' THEN coalesce(o.edit, l.action) ELSE l.action END AS action FROM live l LEFT JOIN own o ON o.deal_id = l.deal_id")

@@ -25,9 +25,11 @@ def query(name: str, sql: str | None = None):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
+    """A folder that driver and executors share; one of our own only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -45,7 +47,7 @@ def _source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
 def _upsert(s, d):
     stream, folder = _source(s, d)
     jobs.upsert_latest(stream, f"{folder}/table", f"{folder}/check", "user_id", ["ts", "event_id"])
-    return jobs.latest_version(s, f"{folder}/table").select("user_id", "event_id", "event_type")
+    return jobs.current(s, f"{folder}/table", stream.schema).select("user_id", "event_id", "event_type")
 
 
 @query("stream_dedupe", "SELECT DISTINCT event_id // 3 AS msg_id FROM events")
