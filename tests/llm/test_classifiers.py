@@ -96,3 +96,35 @@ def test_labels_without_documents(spark, empty):
     assert quality.accepted(docs, quality.fit(docs, labels)).count() == 20
     with pytest.raises(ValueError, match="fits"):
         labelled_sample(docs, labels, "quality", 10, 5)
+
+
+def test_quality_scores_against_brute_force(spark, sf_dir):
+    """Every whole document, compressed chunk by chunk with a fresh compressor."""
+    import zstandard as z
+
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    frame = z.ZstdCompressionParameters.from_level(quality.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    for d in docs.collect():
+        text, sizes = (d.text or "").encode(), [0, 0]
+        for at in range(0, len(text), quality.CHUNK):
+            for k, data in enumerate((model.good, model.bad)):
+                sizes[k] += len(z.ZstdCompressor(compression_params=frame, dict_data=z.ZstdCompressionDict(data)).compress(text[at : at + quality.CHUNK]))
+        diff, ratio = ((sizes[1] - sizes[0]) / sum(sizes), sum(sizes) / 2 / len(text)) if text else (0.0, 0.5)
+        a, b = min(max(10 * diff, -10), 10), min(max(ratio, 0), 3)
+        assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-np.dot([a, b, a * a, b * b, a * b, 1], model.curve))), abs=1e-9)
+
+
+def test_toxicity_scores_against_brute_force(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for d in docs.collect():
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in (d.text or "").lower()).split()
+        lexicon = [v.decode() for v in model.lexicon]
+        starts = lambda w, stem: len(w.encode()) > len(stem.encode()) and w.encode().startswith(stem.encode())
+        fired = [i for i, v in enumerate(lexicon) if any(starts(w, v[1:]) if v.startswith("^") else w == v for w in words)]
+        assert fired == [v for v in model.votes((d.text or "").encode()) if v < len(lexicon)]
+        z = model.weights[-1] + sum(model.weights[v] for v in model.votes((d.text or "").encode())) + model.weights[-2] * np.log1p(len(fired))
+        assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-min(max(z, -30), 30))), abs=1e-9)

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -54,3 +55,60 @@ def test_bounded_raking_moves_mass_between_cells():
     w, met = mixing.rake_within(cells, np.array([[0.1, 9.0], [9.0, 0.1]]), wanted)
     assert met and w.max() <= 1 and np.allclose((cells * w).sum(0), 60, atol=1e-4) and np.allclose((cells * w).sum(1), 60, atol=1e-4)
     assert not mixing.rake_within(cells, np.ones((2, 2)), [np.array([115.0, 5.0]), np.array([60.0, 60.0])])[1]
+
+
+def test_weights_and_draws_against_brute_force(spark, sf_dir):
+    """The registered query over every document: cells counted, raked and drawn in plain Python."""
+    import re
+    import struct
+
+    import xxhash
+
+    from listingmill.llm import queries
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    rows = {r.doc_id: r for r in queries.op5_mixing(spark, sf_dir).collect()}
+    want = mixing.DEFAULT
+    kinds = [[v for v, _ in want.of(k).items()] + ["*"] for k in ("source", "lang", "topic")]
+
+    def topic(t):
+        n, marks = len(t), sum(t.count(c) for c in "#$%&*")
+        return "table" if t.count("|") * 50 > n else "symbols" if marks * 20 > n else "shouting" if t.count("!") * 50 > n else "prose"
+
+    cells, of, size = {}, {}, {}
+    for d in docs:
+        t = d.text or ""
+        own = (d.source, d.lang, topic(t))
+        cell = tuple(v if v in k else "*" for v, k in zip(own, kinds, strict=True))
+        of[d.doc_id], size[d.doc_id] = cell, len(re.findall("[^ \t-\r]+", t))
+        cells[cell] = cells.get(cell, 0) + size[d.doc_id]
+    total = sum(cells.values())
+    shares = []
+    for i, k in enumerate(kinds):
+        have = {v: sum(n for c, n in cells.items() if c[i] == v) / total for v in k}
+        goal = {v: (dict(want.of(("source", "lang", "topic")[i])).get(v, 0) if have[v] else 0) for v in k[:-1]}
+        scale = (1 - have["*"]) / sum(goal.values())
+        shares.append({**{v: x * scale for v, x in goal.items()}, "*": have["*"]})
+    raked = {c: float(n) for c, n in cells.items()}
+    for _ in range(400):
+        for i, k in enumerate(kinds):
+            for v in k:
+                now = sum(n for c, n in raked.items() if c[i] == v)
+                for c in raked:
+                    if c[i] == v and now:
+                        raked[c] *= shares[i][v] * total / now
+    kept = sum(size[i] * r.probability for i, r in rows.items())
+    assert abs(kept / total - 0.5) < 0.01
+    for i, r in rows.items():
+        h = xxhash.xxh64_intdigest(struct.pack("<i", 17), xxhash.xxh64_intdigest(str(i).encode(), 42))
+        assert r.n_tokens == size[i] and r.draw == (h >> 11) / (1 << 53) and r.sampled == (r.draw < r.probability) and 0 <= r.probability <= 1
+    # without a share to keep, the weights are the raked over the observed tokens
+    for r in mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_share=None).collect():
+        c = of[r.doc_id]
+        assert r.weight == pytest.approx(raked[c] / cells[c] if cells[c] else 1.0, rel=1e-3, abs=1e-6)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "src0", "en", 7, 8), (None, None, None, None, 7, 8)], "doc_id long, text string, source string, lang string, cell int, n_tokens int")
+    assert sorted(r.n_tokens for r in mixing.mix_sources(docs).collect()) == [0, 2]
+    assert mixing.sampled(docs, keep_share=1.0).columns == docs.columns
