@@ -57,10 +57,10 @@ def _fix(s, d):
     return p.deals(s, d).where("url IS NOT NULL").select("id", urls.force_pursue(F.col("url"), "beta.example").alias("url"))
 
 
-@query("merge_ordered_sets", "SELECT l_orderkey AS id, list_sort(list_distinct(list(l_suppkey % 3) || list(l_partkey % 4)))::VARCHAR AS merged FROM lineitem GROUP BY 1")
+@query("merge_ordered_sets", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN '[2, 0, 1]' WHEN o_orderkey % 3 = 1 THEN '[1, 2, 0]' ELSE '[0, 2, 1]' END AS merged FROM orders")
 def _sets(s, d):
-    li = s.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_suppkey") % 3).alias("a"), F.collect_list(F.col("l_partkey") % 4).alias("b"))
-    return li.select("id", F.concat(F.lit("["), F.array_join(F.array_sort(queues.append_absent(F.col("a"), F.col("b"))).cast("array<string>"), ", "), F.lit("]")).alias("merged"))
+    o = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).alias("k"))
+    return o.select("id", F.concat(F.lit("["), F.array_join(queues.append_absent(F.array("k"), F.when(F.col("k") == 2, F.array(F.lit(0), F.lit(2), F.lit(1))).otherwise(F.array(F.lit(2), F.lit(1), F.lit(0)))).cast("array<string>"), ", "), F.lit("]")).alias("merged"))
 
 
 @query("signal_counts", f"""WITH {_D}, m AS (SELECT split_part(ext_id, ':', 2) AS msg_id, count(*) AS n, max(asking IS NOT NULL) AS ask FROM deals WHERE {_SOME} GROUP BY 1) SELECT count(*) AS messages, count(*) FILTER (ask) AS has_asking_price, count(*) AS has_money, 0::BIGINT AS has_nda, 0::BIGINT AS has_new_business_matches, 0::BIGINT AS has_match_search_criteria, 0::BIGINT AS has_in_todays_issue, 0::BIGINT AS has_new_listing, 0::BIGINT AS has_franchise_section, 0::BIGINT AS numbered_items FROM m""")

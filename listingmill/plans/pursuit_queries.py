@@ -56,9 +56,7 @@ def _match(s, d):
 
 
 @query("stage_fold", f"""WITH {_D}, {_O}, r AS (SELECT deal_id, max(CASE event_type WHEN 'nda_available' THEN 3 WHEN 'nda_signed' THEN 4 WHEN 'cim_received' THEN 5 END) AS k FROM outreach GROUP BY 1),
-j AS (SELECT d.id AS deal_id, d.stage, r.k, CASE d.stage WHEN 'inbox' THEN 1 WHEN 'shortlist' THEN 2 WHEN 'contacted' THEN 3 WHEN 'nda' THEN 4 WHEN 'cim' THEN 5 END AS s FROM deals d JOIN r ON r.deal_id = d.id)
+j AS (SELECT coalesce(d.id, r.deal_id) AS deal_id, coalesce(d.stage, 'inbox') AS stage, r.k, CASE coalesce(d.stage, 'inbox') WHEN 'inbox' THEN 1 WHEN 'shortlist' THEN 2 WHEN 'contacted' THEN 3 WHEN 'nda' THEN 4 WHEN 'cim' THEN 5 END AS s FROM deals d FULL JOIN r ON r.deal_id = d.id)
 SELECT deal_id, CASE WHEN s IS NULL THEN stage ELSE (['inbox', 'shortlist', 'contacted', 'nda', 'cim'])[greatest(s, coalesce(k, 0))] END AS stage FROM j""")
 def _fold(s, d):
-    e = p.outreach(s, d)
-    start = p.deals(s, d).select(F.col("id").alias("deal_id"), "stage").join(e.select("deal_id").distinct(), "deal_id", "left_semi")
-    return merge.fold_stages(start, e.join(start.select("deal_id"), "deal_id", "left_semi"))
+    return merge.fold_stages(p.deals(s, d).select(F.col("id").alias("deal_id"), "stage"), p.outreach(s, d))
