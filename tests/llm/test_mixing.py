@@ -1,5 +1,5 @@
-import pytest
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from listingmill.llm import mixing, queries
