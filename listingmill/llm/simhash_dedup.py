@@ -108,23 +108,24 @@ def near_pairs(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     each = parts[0].unionByName(parts[1]).unionByName(parts[2])
     values = materialize(each.groupBy("seg", "part").count().where(F.col("count") > limit).select("seg", "part"), "hot-values")
     any_hot = values.limit(1).count() > 0
+    # Spark takes an exploded table for as small as its source, so the joins say that none is broadcast
     keys = nodes.select("fp", F.explode(F.array(*_variants(F.col("fp")))).alias("key"))
     a, b = keys.select("key", F.col("fp").alias("a")), keys.select("key", F.col("fp").alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     close = (F.bit_count(diff) <= DISTANCE) & (F.shiftright(F.col("key"), 22) == _first_place(diff))
     if not any_hot:
-        return a.join(b, "key").where(close & (F.col("a") < F.col("b"))).select("a", "b")
+        return a.hint("merge").join(b, "key").where(close & (F.col("a") < F.col("b"))).select("a", "b")
 
     hot_fp = materialize(each.join(checked_broadcast(values), ["seg", "part"], "left_semi").select("fp").distinct(), "hot-prints")
     cold = materialize(nodes.join(hot_fp, "fp", "left_anti"), "cold-prints")
     cold_keys = cold.select("fp", F.explode(F.array(*_variants(F.col("fp")))).alias("key")).select("key", F.col("fp").alias("a"))
     flagged = keys.join(hot_fp.withColumn("is_hot", F.lit(True)), "fp", "left").select("key", F.col("fp").alias("b"), F.coalesce("is_hot", F.lit(False)).alias("b_hot"))
-    pairs = cold_keys.join(flagged, "key").where(close & (F.col("b_hot") | (F.col("a") < F.col("b")))).select("a", "b")
+    pairs = cold_keys.hint("merge").join(flagged, "key").where(close & (F.col("b_hot") | (F.col("a") < F.col("b")))).select("a", "b")
     masks = [0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))]
     flips = F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
     balls = hot_fp.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("centre"))
     least = balls.groupBy("centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("centre", "a")
-    stars = balls.join(least, "centre").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    stars = balls.hint("merge").join(least, "centre").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(stars)
 
 
