@@ -6,7 +6,7 @@ lines, in built-in expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingmill.operators import listings
@@ -124,6 +124,16 @@ def blocks_by(splitter: Column, body: Column) -> Column:
     )
 
 
+def split_by_format(messages: DataFrame) -> DataFrame:
+    """A row for each block of each matched message (seq, msg_id, subject, body and its family, split, status, email_type, address), split as its format says:
+    (seq, msg_id, subject, splitter, block_idx, block). Year tables of ruled mail become label lines.
+    """
+    m = messages.withColumn("splitter", splitter_of(*[F.col(c) for c in ("family", "split", "status", "email_type", "address")])).where("splitter <> 'none'")
+    d = m.select("seq", "msg_id", "subject", "splitter", F.posexplode(blocks_by(F.col("splitter"), F.col("body"))).alias("block_idx", "block"))
+    ruled = F.col("splitter") == "ruled"
+    return d.withColumn("block", F.when(ruled, listings.normalize_table(F.when(ruled, F.col("block")))).otherwise(F.col("block")))
+
+
 # Headings after which a ruled mail holds no description, and lines that are no part of it.
 FOOTER = r"(?im)^[ \t]*(?:Footnotes and Legend|Geography|Industries|Documents|Axial NDA Available|CIM Instantly Available|iOS App Now Available|Was this deal forwarded|Pass \(https?://|Pursue \(https?://)"
 FIGURE_LINE = r"(?i)^\s*(?:Revenue|EBITDA|SDE|Asking(?:[ \t]+Price)?):[ \t]*\$"

@@ -197,8 +197,9 @@ def _routed(s, d):
     f"WITH m AS ({p.duck(ALERTS)}), c AS ({_LISTS.replace('WITH m AS', 'WITH mm AS').replace('FROM m)', 'FROM mm)')}) SELECT seq, count(*) AS blocks FROM c WHERE seq % 3 <> 0 GROUP BY seq",
 )
 def _control(s, d):
-    m = p.spark_view(s, d, ALERTS).withColumn("splitter", splitters.splitter_of(F.lit("cards"), F.lit("cards"), F.when(F.col("seq") % 3 == 0, "control").otherwise("active"), F.lit("listing_digest"), F.lit("x@alpha.example")))
-    return m.select("seq", F.explode(splitters.blocks_by(F.col("splitter"), F.col("body")))).groupBy("seq").agg(F.count("*").alias("blocks"))
+    said = {"family": "cards", "split": "cards", "email_type": "listing_digest", "address": "x@alpha.example", "subject": "s", "msg_id": "m"}
+    m = p.spark_view(s, d, ALERTS).withColumns({k: F.lit(v) for k, v in said.items()} | {"status": F.when(F.col("seq") % 3 == 0, "control").otherwise("active")})
+    return splitters.split_by_format(m).groupBy("seq").agg(F.count("*").alias("blocks"))
 
 
 _SURVEYED = f"SELECT event_id AS seq, {p.pick('user_id', ('alpha.example', 'beta.example', None))} AS source, {p.pick('user_id', ('x@alpha.example', 'y@beta.example', None, ''))} AS sub_source, {p.pick('user_id', ('Alpha', 'Beta'))} AS nickname, {p.pick('event_id', (0, 2, None, 5))} AS kept_listings, {p.pick('event_id', (None, 'alpha.digest', 'beta.x'))} AS format_id, {p.pick('event_id', ('s1', None, ''))} AS subcategory, {p.pick('event_id * 3 + user_id', ('control', 'active', 'needs_parser'))} AS status, CASE WHEN event_id % 7 <> 0 THEN 'subject ' || CAST(event_id AS STRING) ELSE '' END AS subject, 'open ' || CAST(event_id AS STRING) AS opening FROM {{events}}"
