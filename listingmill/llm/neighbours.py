@@ -7,6 +7,10 @@ to the first: the number of cells grows with the number of rows. A query probes,
 table, the cells whose axes lie nearest to it together. How many it probes is set on a bounded
 sample of queries, whose true neighbours one pass over all rows finds.
 
+The search has two passes. A first one, over a few tables and cells, gives each query a score that its last
+neighbour reaches in any case; in the second one every cell returns only what reaches it, so what comes out of the cells grows with the
+queries and not with the cells they look into.
+
 Vectors meet their queries by cell. A cell with many of either is split into blocks of
 bounded size, several small cells share a task's group, and every cell returns the nearest by
 the exact cosine of the original vectors. Equal vectors are indexed through the few smallest
@@ -24,6 +28,8 @@ from listingmill.llm.common import checked_broadcast, materialize
 
 #: Tables; rows of one cell on average; rows of a block; seed.
 TABLES, CELL_ROWS, BLOCK, SEED = 10, 32, 8192, 11
+#: Tables, and cells of each, that the first pass looks into.
+FIRST_TABLES, FIRST_PROBES = 3, 4
 #: The share of true neighbours that the probes must reach on the sample, its queries, and the most cells of one table they may take.
 TARGET, SAMPLE, MOST_PROBES = 0.965, 64, 4096
 
@@ -113,7 +119,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _cells(hashes: Hashes, dim: int, probes: int, with_vector: bool):
-    """(cell, id, vector) for every cell of each vector: its own ones, or with ``probes`` those a query looks into."""
+    """(cell, id, vector, bar) for every cell of each vector: its own ones, or with ``probes`` those a query looks into."""
     step = max(1, min(1024, (1 << 16) // (max(1, probes) * hashes.tables)))
 
     def run(batches):
@@ -126,7 +132,8 @@ def _cells(hashes: Hashes, dim: int, probes: int, with_vector: bool):
                 cols = [pa.array(cells.ravel()), pa.array(np.repeat(ids, cells.shape[1]))]
                 if with_vector:
                     cols.append(pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(np.repeat(np.arange(len(x)), cells.shape[1]))))
-                yield pa.RecordBatch.from_arrays(cols, names=["cell", "id", "vector"][: len(cols)])
+                    cols.append(pa.array(np.repeat(part.column(2).to_numpy(), cells.shape[1])))
+                yield pa.RecordBatch.from_arrays(cols, names=["cell", "id", "vector", "bar"][: len(cols)])
 
     return run
 
@@ -137,16 +144,17 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
-def _top(ids, x, unit, qi, di, k):
-    """(query id, id, score, row) of the ``k`` nearest rows ``di`` of each row ``qi``."""
+def _top(ids, x, unit, qi, di, k, bars=None):
+    """(query id, id, score, row) of the ``k`` nearest rows ``di`` of each row ``qi``, those below the query's bar left out."""
     data = unit[di].T
     for at in range(0, len(qi), 256):
         part = qi[at : at + 256]
         near = unit[part] @ data
         near[ids[part][:, None] == ids[di][None, :]] = -np.inf
         # a little slack: rounding of the block product must not decide between near-equal ones
-        bar = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
-        r, c = np.nonzero((near >= np.maximum(bar, -2)[:, None] - 1e-9))
+        least = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, max(0, near.shape[1] - k)]
+        least = np.maximum(least, -2 if bars is None else bars[part])
+        r, c = np.nonzero(near >= least[:, None] - 1e-9)
         score = cosine(x[part[r]], x[di[c]])
         order = np.lexsort((ids[di[c]], -score, r))
         r, c, score = r[order], c[order], score[order]
@@ -158,7 +166,7 @@ def _nearest(dim: int, dtype: str, k: int):
     def run(group: pa.Table) -> pa.Table:
         query, ids = group["query"].to_numpy(), group["id"].to_numpy()
         x = np.frombuffer(b"".join(group["vector"].to_pylist()), dtype).reshape(-1, dim)
-        unit = _unit(x)
+        unit, bars = _unit(x), group["bar"].to_numpy()
         keys = [group[c].to_numpy() for c in ("cell", "d", "q")]
         order = np.lexsort(keys)
         changes = np.logical_or.reduce([np.diff(key[order]) != 0 for key in keys])
@@ -166,7 +174,7 @@ def _nearest(dim: int, dtype: str, k: int):
         for rows in np.split(order, np.flatnonzero(changes) + 1):
             qi, di = rows[query[rows]], rows[~query[rows]]
             if len(qi) and len(di):
-                out += _top(ids, x, unit, qi, di, k)
+                out += _top(ids, x, unit, qi, di, k, bars)
         cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float))]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
@@ -225,7 +233,8 @@ def _search(index: DataFrame, queries: DataFrame, hashes: Hashes, dim: int, dtyp
     # only cells over one block: at most (rows x tables + queries x probes) / block of them
     large = materialize(counts.where("nd > 1 OR nq > 1").select("cell", "nd", "nq"), "large-cells")
     dealt_rows = counts.agg(F.sum(F.col("n") * F.col("nq") + F.col("m") * F.col("nd"))).first()[0] or 0
-    kind = "cell long, id long, vector binary"
+    kind = "cell long, id long, vector binary, bar double"
+    index, queries = (d if "bar" in d.columns else d.withColumn("bar", F.lit(-2.0)) for d in (index, queries))
     rows = index.mapInArrow(_cells(hashes, dim, 0, True), kind).withColumn("query", F.lit(False)).unionByName(queries.mapInArrow(_cells(hashes, dim, probes, True), kind).withColumn("query", F.lit(True)))
     nd, nq = F.coalesce("nd", F.lit(1)), F.coalesce("nq", F.lit(1))
     place = lambda n: F.array(F.pmod(F.xxhash64("id"), n).cast("int"))
@@ -233,7 +242,7 @@ def _search(index: DataFrame, queries: DataFrame, hashes: Hashes, dim: int, dtyp
     dealt = rows.join(checked_broadcast(large), "cell", "left").withColumn("d", F.explode(F.when(F.col("query"), every(nd)).otherwise(place(nd)))).withColumn("q", F.explode(F.when(F.col("query"), place(nq)).otherwise(every(nq))))
     # small cells share a group of about a block of rows
     bucket = F.pmod(F.xxhash64("cell", "d", "q"), F.lit(1 + dealt_rows // block))
-    found = dealt.select("cell", "id", "vector", "query", "d", "q", bucket.alias("bucket")).groupBy("bucket").applyInArrow(_nearest(dim, dtype, k), "query_id long, vec_id long, score double")
+    found = dealt.select("cell", "id", "vector", "bar", "query", "d", "q", bucket.alias("bucket")).groupBy("bucket").applyInArrow(_nearest(dim, dtype, k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _ranked(best, k).select("query_id", "rank", "vec_id", "score")
 
@@ -270,7 +279,11 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column | None = None, id_co
     queries = materialize(own.where("query").select("id", "vector"), "queries")
     hashes = Hashes(dim, tables, widths(dim, index.count(), cell_rows), seed)
     probes = probes or tuned_probes(index, queries, hashes, dim, dtype, k, target)
-    found = materialize(_search(index, queries, hashes, dim, dtype, k, probes, block), "found")
+    few = Hashes(dim, min(tables, FIRST_TABLES), hashes.of, seed)
+    first = _search(index, queries, few, dim, dtype, k, min(probes, FIRST_PROBES), block)
+    bars = first.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("_bar"))
+    barred = materialize(queries.join(bars, queries["id"] == bars["_q"], "left").select("id", "vector", F.coalesce("_bar", F.lit(-2.0)).alias("bar")), "barred")
+    found = materialize(_search(index, barred, hashes, dim, dtype, k, probes, block), "found")
     short = queries.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
     short = materialize(short, "short")
     if not short.limit(1).count():
