@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, and SQL where it can express them."""
+"""The queries of the operators, with production parameters, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmill.llm import bpe, exact_dedup, html_text, mixing, neighbours, quality, simhash_dedup, substring_dedup, toxicity, warc
+from listingmill.llm import bpe, divergence, exact_dedup, html_text, mixing, neighbours, quality, simhash_dedup, substring_dedup, toxicity, warc
 
 #: The vocabulary of op 2: a file on the driver that the package of public tokenizers names. Another path may be set.
 VOCABULARY: str | None = None
@@ -70,7 +70,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_simhash, op5_mixing, op6_toxicity, op7_neighbours, op8_html_text, op9_exact_dedup, op10_quality)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_simhash, op5_mixing, op6_toxicity, op7_neighbours, op8_html_text, op9_exact_dedup, op10_quality, op13_divergence)}
 
 _OP1 = r"""
 WITH words AS (
@@ -114,4 +118,38 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_warc": _OP3, "op9_exact_dedup": _OP9}
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), v AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term
+), dense AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.n AS n_lang
+  FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), p AS (
+  SELECT lang, source, term, n,
+         1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER w + count(*) OVER w)::HUGEINT AS p,
+         1 + 1000000000::HUGEINT * (n_lang + 1) // (sum(n_lang) OVER w + count(*) OVER w)::HUGEINT AS q
+  FROM dense WINDOW w AS (PARTITION BY lang, source)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY part, lang, source ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_warc": _OP3, "op9_exact_dedup": _OP9, "op13_divergence": _OP13}
