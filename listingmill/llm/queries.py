@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmill.llm import bpe, divergence, exact_dedup, html_text, mixing, neighbours, quality, simhash_dedup, substring_dedup, toxicity, warc
+from listingmill.llm import alignment, bpe, divergence, exact_dedup, html_text, mixing, neighbours, quality, simhash_dedup, substring_dedup, toxicity, warc
 
 #: The vocabulary of op 2: a file on the driver that the package of public tokenizers names. Another path may be set.
 VOCABULARY: str | None = None
 
 
-def vocabulary() -> str:
-    if VOCABULARY is not None:
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    if VOCABULARY is not None and name == "word_bpe_49k.json":
         return VOCABULARY
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,11 +70,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_simhash, op5_mixing, op6_toxicity, op7_neighbours, op8_html_text, op9_exact_dedup, op10_quality, op13_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_simhash, op5_mixing, op6_toxicity, op7_neighbours, op8_html_text, op9_exact_dedup, op10_quality, op11_alignment, op13_divergence)}
 
 _OP1 = r"""
 WITH words AS (
