@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingmill.llm import alignment, bpe, divergence, exact_dedup, html_text, mixing, neighbours, quality, simhash_dedup, substring_dedup, toxicity, warc
+from listingmill.llm import alignment, bpe, divergence, exact_dedup, html_text, mixing, multi_index, neighbours, quality, simhash_dedup, substring_dedup, toxicity, warc
 
 #: The vocabulary of op 2: a file on the driver that the package of public tokenizers names. Another path may be set.
 VOCABULARY: str | None = None
@@ -74,11 +74,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_simhash, op5_mixing, op6_toxicity, op7_neighbours, op8_html_text, op9_exact_dedup, op10_quality, op11_alignment, op13_divergence)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_simhash, op5_mixing, op6_toxicity, op7_neighbours, op8_html_text, op9_exact_dedup, op10_quality, op11_alignment, op12_embedding_dedup, op13_divergence)}
 
 _OP1 = r"""
 WITH words AS (
@@ -122,6 +126,23 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
+_OP12 = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
 _OP13 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
@@ -156,4 +177,4 @@ WITH d AS (
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
-ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_warc": _OP3, "op9_exact_dedup": _OP9, "op13_divergence": _OP13}
+ORACLES: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_warc": _OP3, "op9_exact_dedup": _OP9, "op12_embedding_dedup": _OP12, "op13_divergence": _OP13}
