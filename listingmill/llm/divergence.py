@@ -54,19 +54,25 @@ def _share(count: str, total: str) -> Column:
 _GAP = "(p - q) * (p - q) div q"
 
 
-def shares(docs: DataFrame, min_docs: int = MIN_DOCS, **cols: str) -> DataFrame:
-    """lang, source, term, count, p, q: every kept term of a language in each of its groups, with the share p in the group and q in the language."""
+def groups_and_shares(docs: DataFrame, min_docs: int = MIN_DOCS, **cols: str) -> tuple[DataFrame, DataFrame]:
+    """The groups (g, lang, source), and g, t, term, count, p, q of every kept term in every group of its language.
+
+    ``t`` numbers the pairs of language and term, ``g`` the groups; ``p`` is the share in the group, ``q`` in the language.
+    """
     counts = materialize(term_counts(docs, **cols), "term-counts")
-    by_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    vocabulary = materialize(by_lang.where(F.col("docs") >= min_docs).select("lang", "term", "n"), "vocabulary")
+    # a list holds a number for each source of the language at most
+    by_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("of_source"))
+    vocabulary = by_lang.where(F.col("docs") >= min_docs).select(F.monotonically_increasing_id().alias("t"), "lang", "term", "n", "of_source")
+    vocabulary = materialize(vocabulary, "vocabulary")
     totals = materialize(vocabulary.groupBy("lang").agg((F.sum("n") + F.count("*")).alias("total"), F.count("*").alias("v")), "lang-totals")
-    kept = _meet(vocabulary, totals, ["lang"]).select("lang", "term", _share("n", "total").alias("q"))
-    own = counts.join(vocabulary.select("lang", "term"), ["lang", "term"], "left_semi").groupBy("lang", "source").agg(F.sum("n").alias("own"))
+    own = vocabulary.select("lang", F.explode("of_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("own"))
     groups = docs.select(*_group(docs, cols.get("lang_col", "lang"), cols.get("source_col", "source"))).distinct()
-    groups = groups.join(own, ["lang", "source"], "left").join(totals, "lang").select("lang", "source", (F.coalesce("own", F.lit(0)) + F.col("v")).alias("total"))
-    dense = _meet(kept, materialize(groups, "group-totals"), ["lang"]).join(counts.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-    dense = dense.select("lang", "source", "term", F.coalesce("n", F.lit(0)).alias("count"), "total", "q")
-    return materialize(dense.select("lang", "source", "term", "count", _share("count", "total").alias("p"), "q"), "shares")
+    groups = groups.join(own, ["lang", "source"], "left").join(totals.select("lang", "v"), "lang", "left")
+    total = F.coalesce("own", F.lit(0)) + F.coalesce("v", F.lit(0))
+    groups = materialize(groups.select(F.monotonically_increasing_id().alias("g"), "lang", "source", total.alias("total")), "groups")
+    kept = _meet(vocabulary, totals.select("lang", "total"), ["lang"]).select("t", "lang", "term", "of_source", _share("n", "total").alias("q"))
+    dense = _meet(kept, groups.where("total > 0"), ["lang"]).withColumn("count", F.coalesce(F.col("of_source")[F.col("source")], F.lit(0)))
+    return groups, materialize(dense.select("g", "t", "term", "count", _share("count", "total").alias("p"), "q"), "shares")
 
 
 def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -77,16 +83,14 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     that keeps no term has pairs of value 0; equal values are ranked by the item's UTF-8 bytes; repeated rows are
     documents of their own; other columns, of any name, are not read; an empty table gives an empty result.
     """
-    cols = {"text_col": text_col, "lang_col": lang_col, "source_col": source_col}
-    cells = shares(docs, min_docs, **cols)
-    groups = materialize(docs.select(*_group(docs, lang_col, source_col)).distinct(), "groups")
-    other = cells.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"))
-    met = cells.select("lang", "term", "source", "p").join(other, ["lang", "term"]).where("source <> item")
-    sums = met.groupBy("lang", "source", "item").agg(F.sum(F.expr(_GAP)).alias("value"))
-    pairs = groups.join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item").join(sums, ["lang", "source", "item"], "left")
-    pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
-    terms = cells.where("count > 0 AND p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_GAP).alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    groups, cells = groups_and_shares(docs, min_docs, text_col=text_col, lang_col=lang_col, source_col=source_col)
+    other = cells.select("t", F.col("g").alias("other"), F.col("p").alias("q"))
+    met = cells.select("t", "g", "p").join(other, "t").where("g <> other")
+    sums = met.groupBy("g", "other").agg(F.sum(F.expr(_GAP)).alias("value"))
+    pairs = groups.select("g", "lang", "source").join(groups.select("lang", F.col("g").alias("other"), F.col("source").alias("item")), "lang").where("g <> other").join(sums, ["g", "other"], "left")
+    pairs = pairs.select("g", "lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("value"), "item"))
     # a limit on the rank is taken in every task before the shuffle, so a large group does not come together
-    out = pairs.withColumn("rank", rank).unionByName(terms.withColumn("rank", rank).where(F.col("rank") <= top))
-    return out.select("lang", "source", "part", "item", "value", "rank")
+    terms = cells.where("count > 0 AND p > q").select("g", F.col("term").alias("item"), F.expr(_GAP).alias("value")).withColumn("rank", rank).where(F.col("rank") <= top)
+    terms = terms.join(groups.select("g", "lang", "source"), "g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
+    return pairs.withColumn("rank", rank).select("lang", "source", "part", "item", "value", "rank").unionByName(terms)
