@@ -123,12 +123,15 @@ def labelled_frame(docs: DataFrame, labels: DataFrame, label_col: str, per_class
     together. The result is at most two times these bounds, whatever the input holds. A text of
     up to ``LONGEST`` bytes comes whole; a longer one gives ``PIECES`` pieces (not more bytes than
     that), so no text can take the place of all others. An id whose labels disagree is left out;
-    of documents that share an id the one whose text has the smallest hash counts. A class whose labels belong
-    to no document counts as one without labels; one whose texts all exceed ``most_bytes`` is an error.
+    of documents that share an id the one whose text has the smallest hash counts. Labels that belong to
+    no document are neither picked nor counted. A class that has labelled documents and ends without a sample is an error.
     """
     known = labels.where(labels[label_col].isin(0, 1) & labels[id_col].isNotNull() & ~held_out(id_col))
     known = known.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_y"))
     known = materialize(known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_most")).where("_y = _most").select("_id", "_y"), "labels")
+    # ids alone are read here, and labels may reach far beyond these documents
+    ids = docs.select(docs[id_col].cast("long").alias("_doc"))
+    known = materialize(ids.join(checked_broadcast(known), F.col("_doc") == F.col("_id")).select("_id", "_y").distinct(), "known")
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     order = [F.xxhash64(F.col("_id"), F.lit(7)), F.col("_id")]
     picked = known.where("_y = 0").orderBy(*order).limit(per_class).unionByName(known.where("_y = 1").orderBy(*order).limit(per_class))
@@ -138,16 +141,14 @@ def labelled_frame(docs: DataFrame, labels: DataFrame, label_col: str, per_class
     rows = rows.select("doc_id", F.col("_y").alias("y"), F.xxhash64("text").alias("h"), F.when(F.octet_length("text") <= LONGEST, F.col("text")).otherwise(_pieces(F.col("text"))).alias("text"))
     rows = materialize(rows.groupBy("doc_id", "y").agg(F.min_by("text", "h").alias("text")), "picked-texts")
     # the ids and sizes of the rows picked, three numbers each, decide which fit
-    fits, room = [], {0: most_bytes, 1: most_bytes}
+    fits, filled, room = [], set(), {0: most_bytes, 1: most_bytes}
     for r in rows.select("doc_id", "y", F.octet_length("text").alias("n")).orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").collect():
         if r["n"] <= room[r["y"]]:
             room[r["y"]] -= r["n"]
+            filled.add(r["y"])
             fits.append((r["doc_id"],))
-    empty = {y for y in counts if room[y] == most_bytes}
-    if empty & {r["y"] for r in rows.select("y").distinct().collect()}:
-        raise ValueError(f"{label_col}: no text of class {sorted(empty)} fits in {most_bytes} bytes")
-    for y in empty:
-        counts.pop(y)
+    if counts.keys() - filled:
+        raise ValueError(f"{label_col}: no text of class {sorted(counts.keys() - filled)} fits in a sample of {per_class} rows and {most_bytes} bytes")
     kept = docs.sparkSession.createDataFrame(fits, "_id long")
     return rows.join(F.broadcast(kept), rows["doc_id"] == kept["_id"], "left_semi").select("doc_id", "text", "y"), counts
 

@@ -128,3 +128,32 @@ def test_toxicity_scores_against_brute_force(spark, sf_dir):
         assert fired == [v for v in model.votes((d.text or "").encode()) if v < len(lexicon)]
         z = model.weights[-1] + sum(model.weights[v] for v in model.votes((d.text or "").encode())) + model.weights[-2] * np.log1p(len(fired))
         assert got[d.doc_id] == pytest.approx(1 / (1 + np.exp(-min(max(z, -30), 30))), abs=1e-9)
+
+
+def test_labels_that_reach_beyond_the_documents(spark):
+    """Only labels with documents are picked and counted, however many others there are."""
+    import zlib
+
+    docs = spark.createDataFrame([(i, f"words of text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.range(100_000).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS quality")
+    rows, counts = labelled_sample(docs, labels, "quality", 60, 1 << 20)
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(r[0] for r in rows) == ids
+    assert counts == {y: sum((i % 3 == 0) == y for i in ids) for y in (0, 1)}
+    for per_class in (7, 1):
+        rows, same = labelled_sample(docs, labels, "quality", per_class, 1 << 20)
+        assert same == counts and all(sum(r[2] == y for r in rows) == per_class for y in (0, 1))
+
+
+def test_a_class_of_empty_texts_is_sampled(spark):
+    docs = spark.createDataFrame([(i, None if i % 2 else "some words") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows, counts = labelled_sample(docs, labels, "quality", 100, 1 << 20)
+    assert {y: sum(r[2] == y for r in rows) for y in (0, 1)} == counts and min(counts.values()) > 0
+
+
+def test_a_class_without_room_is_an_error(spark):
+    docs = spark.createDataFrame([(i, "w " * 500 if i % 2 else "w") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    with pytest.raises(ValueError, match="class"):
+        labelled_sample(docs, labels, "quality", 100, 100)
