@@ -4,8 +4,9 @@ A tree builder closes what tags imply closed (paragraphs, list items, table part
 visibility rules leave out what a browser would not show, and a renderer lays out the rest:
 blocks on lines of their own, blank lines where blocks have margins, lists with bullets or
 numbers and indents, tables with their columns aligned, preformatted text as it stands. A cell
-is laid out as a page of its own, so blocks, lists and tables inside it keep their lines.
-Elements may be nested to any depth: nothing here recurses.
+that has others beside it is laid out as a page of its own, so blocks, lists and tables inside it keep their lines.
+Elements may be nested to any depth: nothing here recurses. What padding and deep indents may take is in
+proportion to the page, and cells are passed on through few tables at most, so output and time are too.
 
 Pages are independent, so the work is one pass over the rows without a shuffle.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript datalist iframe canvas audio video noembed noframes area param source track meta link base".split())
+UNSEEN = frozenset("rp head script style title template noscript datalist iframe canvas audio video noembed noframes area param source track meta link base".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav aside main address li dt dd tr thead tbody tfoot caption form details summary dialog legend figcaption center hgroup search option optgroup text".split())
 #: A start tag closes an open element of the second set, unless one of the third is met first.
@@ -60,20 +61,55 @@ _GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 #: Spans that browsers allow at most, by the HTML standard.
 _SPANS = {"colspan": 1000, "rowspan": 65_534}
+#: Tables inside each other whose columns are aligned; deeper ones are laid out a cell after the other.
+ALIGNED = 16
+#: Indents that every line may have; what deeper ones and columns may take together, for each character of the page, and on any page.
+INDENT, PADDING, SOME = 24, 3, 4096
 #: Characters after which a line of a cell that has others to its right is wrapped.
 WRAP = 60
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "rules", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None, rules: dict | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.rules = rules if rules is not None else {}  # of the page, which all its elements share
+
+
+def _value(v: str) -> str:
+    v = v[1:-1] if v[:1] in ("'", '"') else v
+    return entities.unescape(v) if "&" in v else v
+
+
+#: A rule of a style sheet whose selectors name a tag, a class or an id, alone or with the tag before it.
+_COMMENT, _RULE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"([^{}]*)([{}])")
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*|\*)?([.#][\w-]+)?")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+
+
+def sheet_rules(css: str) -> dict[tuple[str, str], bool]:
+    """Whether a style sheet displays what a simple selector (tag or '', mark with its class or id or '') names; rules inside others, as of media, are left out."""
+    rules: dict[tuple[str, str], bool] = {}
+    depth, selectors = 0, ""
+    for before, brace in _RULE.findall(_COMMENT.sub("", css)):
+        if brace == "{":
+            depth += 1
+            selectors = before if depth == 1 else ""
+            continue
+        found = _DISPLAY.findall(before) if depth == 1 and selectors else ()
+        for one in selectors.rpartition(";")[2].split(",") if found else ():
+            m = _SIMPLE.fullmatch(one.strip())
+            if m and m[0]:
+                rules[(m[1] or "").lower().replace("*", ""), m[2] or ""] = found[-1].lower() != "none"
+        depth, selectors = max(0, depth - 1), ""
+    return rules
 
 
 def parse(page: str) -> Node:
     """The tree of a page; strings among the children are text."""
-    root = Node("#root")
+    rules: dict[tuple[str, str], bool] = {}
+    root = Node("#root", rules=rules)
     stack = [root]
     opened: dict[str, int] = {}  # open elements by tag: what isn't open needs no look through the stack
     at, size = 0, len(page)
@@ -144,7 +180,7 @@ def parse(page: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                add(Node("br"), False)
+                add(Node("br", rules=rules), False)
                 continue
             for i in range(len(stack) - 1 if opened.get(tag) else 0, 0, -1):
                 if stack[i].tag == tag:
@@ -165,11 +201,11 @@ def parse(page: str) -> Node:
             if tag == "table":
                 leave(i)
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            row = Node("tr")
+            row = Node("tr", rules=rules)
             stack[-1].children.append(row)
             push(row)
-        attrs = {k.lower(): v.strip("\"'") if v else "" for k, v in _ATTR.findall(m[3])} if m[3].strip(" \t\n\r\f/") else None
-        node = Node(tag, attrs)
+        attrs = {k.lower(): _value(v) for k, v in _ATTR.findall(m[3])} if m[3].strip(" \t\n\r\f/") else None
+        node = Node(tag, attrs, rules)
         add(node, tag in _TABLE_KEEPS)
         if (tag in _UNDRAWN or m[3].endswith("/")) and nearest(("svg", "math")):
             if m[3].endswith("/"):
@@ -182,6 +218,8 @@ def parse(page: str) -> Node:
             inner = page[at : end.start() if end else size]
             if tag == "textarea":
                 node.children.append(entities.unescape(inner))
+            if tag == "style" and node.attrs.get("media", "all").strip().lower() in ("all", "screen", ""):
+                root.rules.update(sheet_rules(inner))
             after = page.find(">", end.end()) if end else -1
             at = size if after < 0 else after + 1
         elif tag not in VOID:
@@ -194,6 +232,8 @@ def displayed(node: Node) -> bool:
     a = node.attrs
     if node.tag in UNSEEN:
         return False
+    if node.rules and not ("style" in a and _DISPLAY.search(a["style"])) and not _ruled(node):
+        return False
     if not a:
         return node.tag != "dialog"
     if node.tag == "input" or "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "object" and "data" in a):
@@ -201,6 +241,18 @@ def displayed(node: Node) -> bool:
     return not ("style" in a and _GONE.search(a["style"]))
 
 
+def _ruled(node: Node) -> bool:
+    """What the page's style rules say: those of the id, then of classes, then of the tag; of classes at odds the last named."""
+    marks = ["#" + node.attrs["id"]] if "id" in node.attrs else []
+    for group in (marks, ["." + c for c in reversed(node.attrs.get("class", "").split())], [""]):
+        for mark in group:
+            for tag in (node.tag, ""):
+                found = node.rules.get((tag, mark))
+                if found is not None:
+                    return found
+    return True
+
+
 def _seen(node: Node, inherited: bool) -> bool:
     """Whether text right inside an element is visible; unlike ``display``, children may take it back."""
     found = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
@@ -210,8 +262,11 @@ def _seen(node: Node, inherited: bool) -> bool:
 class _Page:
     """Lines of output, with white space between inline text collapsed and margins of blocks merged."""
 
-    def __init__(self):
+    def __init__(self, room: list[int], aligned: int = 0):
+        self.room = room  # what deep indents and columns may still take, a number that all parts of a page share
+        self.aligned = aligned  # tables whose columns are aligned around this
         self.lines: list[str] = []
+        self.base, self.owed, self.lead = 0, False, ""  # first line of the cell, a blank line before it, marks before its indent
         self.now: list[str] = []
         self.gap = False  # white space waits before the next word
         self.blank = False  # a blank line waits before the next line
@@ -238,15 +293,40 @@ class _Page:
         self.gap = False
 
     def put(self, s: str) -> None:
-        if self.blank and self.lines:
+        if (self.blank if len(self.lines) > self.base else self.owed or self.blank and not self.base) and self.lines:
             self.lines.append("")
         self.blank = False
-        pad = self.indent
-        if self.mark:
-            pad = pad[: max(0, len(pad) - len(self.mark))] + self.mark
-            self.mark = ""
+        pad = self._pad()
+        self.lead = self.mark = ""
+        if len(pad) > INDENT and not self.take(len(pad)):
+            pad = pad[-INDENT:]
         self.lines.append((pad + s).rstrip(" "))
 
+    def _pad(self) -> str:
+        pad = self.lead + self.indent[len(self.lead) :]
+        return pad[: max(0, len(pad) - len(self.mark))] + self.mark
+
+    def take(self, n: int) -> bool:
+        if n > self.room[0]:
+            return False
+        self.room[0] -= n
+        return True
+
+    def enter(self) -> tuple:
+        """Lines from here on are those of a cell: white space at its edges is none of the page's."""
+        held = (self.base, self.owed, self.blank, self.lead, self.mark, len(self.lines))
+        self.owed = self.owed if self.lines and len(self.lines) == self.base else self.blank
+        self.lead = self._pad() if self.lead or self.mark else ""
+        self.base, self.blank, self.mark = len(self.lines), False, ""
+        return held
+
+    def leave(self, held: tuple) -> None:
+        self.line()
+        if len(self.lines) == held[-1]:
+            self.base, self.owed, self.blank, self.lead, self.mark, _ = held
+        else:
+            self.base, self.owed, self.blank, self.lead, self.mark = held[0], held[1], False, "", ""
+
     def margin(self) -> None:
         self.line()
         self.blank = True
@@ -270,6 +350,20 @@ def _table_rows(node: Node):
     return parts["thead"] + parts[""] + parts["tfoot"]
 
 
+def _is_cell(c) -> bool:
+    return isinstance(c, Node) and c.tag in ("td", "th") and displayed(c)
+
+
+def _one_column(groups) -> bool:
+    """Whether no cell has another beside it, so there is nothing to align."""
+    for group in groups:
+        for row in group:
+            cells = [c for c in row.children if _is_cell(c)]
+            if len(cells) > 1 or any("colspan" in c.attrs or "rowspan" in c.attrs for c in cells):
+                return False
+    return True
+
+
 def _span(node: Node, key: str) -> int:
     v = node.attrs.get(key, "")
     if not (v.isascii() and v.isdigit()):
@@ -283,20 +377,31 @@ def _table(page: _Page, node: Node, seen: bool):
             page.line()
             yield _flow(page, c, _seen(c, seen))
             page.line()
+    groups = _table_rows(node)
+    if page.aligned >= ALIGNED or _one_column(groups):
+        page.line()
+        for group in groups:
+            for row in group:
+                for c in row.children:
+                    if _is_cell(c):
+                        held = page.enter()
+                        yield _flow(page, c, _seen(c, _seen(row, seen)))
+                        page.leave(held)
+        return
     rows: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines) of the cells that hold something
-    for group in _table_rows(node):
+    for group in groups:
         held: list[list[int]] = []  # (from column, to column, rows left) of cells above that reach down, by column
         for row in group:
             at, free, out = 0, iter(held), []
             block = next(free, None)
             reach = []
             for c in row.children:
-                if not isinstance(c, Node) or c.tag not in ("td", "th") or not displayed(c):
+                if not _is_cell(c):
                     continue
                 while block and block[0] <= at:
                     at, block = max(at, block[1]), next(free, None)
                 wide, tall = _span(c, "colspan"), _span(c, "rowspan")
-                inner = _Page()
+                inner = _Page(page.room, page.aligned + 1)
                 yield _flow(inner, c, _seen(c, _seen(row, seen)))
                 inner.line()
                 if inner.lines:
@@ -330,7 +435,8 @@ def _grid(page: _Page, rows) -> None:
             continue
         size = sum(map(len, (s for _, _, lines in own for s in lines)))
         tall = max(len(lines) for _, _, lines in row)
-        if len(row) > 1 and starts[row[-1][0]] * tall > 4 * size + 160 * len(row):
+        padding = starts[row[-1][0]] * tall
+        if (len(row) > 1 and padding > 4 * size + 160 * len(row)) or not page.take(padding):
             for _, _, lines in own:
                 for s in lines:
                     page.put(s)
@@ -457,8 +563,8 @@ def _run(call) -> None:
             calls.append(inner)
 
 
-def render(node: Node) -> str:
-    page = _Page()
+def render(node: Node, room: int) -> str:
+    page = _Page([room])
     _run(_flow(page, node, True))
     page.line()
     return "\n".join(page.lines)
@@ -466,7 +572,7 @@ def render(node: Node) -> str:
 
 def page_text(page: str) -> str:
     """All visible text of a page, laid out in lines."""
-    return render(parse(page))
+    return render(parse(page), PADDING * len(page) + SOME)
 
 
 def _texts(batches):
@@ -480,8 +586,10 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """page_id and text of every row.
 
     Defined cases: a null or empty page has the empty text; markup without an end is read as far
-    as it goes; elements may be nested to any depth; values of form fields are not text; a table
-    whose padding would outgrow its content is laid out a cell after the other; repeated rows and null
+    as it goes; elements may be nested to any depth; values of form fields are not text; of style sheets, rules
+    of ``display`` for a tag, a class or an id of the page's own are read, other selectors and files are not; a table
+    whose padding would outgrow its content, or that lies in ``ALIGNED`` others, is laid out a cell after the other, and very
+    deep indents are cut, both without loss of text; repeated rows and null
     ids each get a result; other columns, of any name, are not read; an empty table gives an empty result.
     """
     own = pages.select(pages[id_col].cast("long").alias("page_id"), F.coalesce(pages[html_col], F.lit("")).alias("html"))

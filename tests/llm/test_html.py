@@ -178,3 +178,31 @@ def test_generated_pages_against_brute_force():
         page = made(0)
         have = html_text.page_text(page).replace("-", " ").split()  # bullets
         assert sorted("".join(have)) == sorted("".join(brute(page).split())), page
+
+
+@pytest.mark.parametrize("page", ["<ul><li>x" * 5000, "<blockquote>x" * 5000, "<dl><dd>x" * 5000, "<ul><li>" * 40 + "<li>x" * 20000, "<table><tr><td>x" * 6000, "<table><tr><td>a<td>x" * 3000, "<ul><li><table><tr><td>x" * 3000, "<table><tr><td>aaaa x<td>c</td></tr><tr><td>d<td>" * 2000])
+def test_output_and_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    out = html_text.page_text(page)
+    assert time.process_time() - began < 5  # the square of these depths takes far longer
+    assert len(out) <= 8 * len(page) and out.count("x") == page.count("x")
+
+
+def test_deep_indents_of_small_pages_are_kept():
+    assert html_text.page_text("<ul><li>a" * 20).splitlines()[-1] == " " * 38 + "- a"
+
+
+def test_style_rules_and_ruby():
+    css = "<style>.x{display:none} /* p{display:none} */ @media print{p{display:none}} @import 'a'; #y, b.z{color:red;display : none} i:hover{display:none}</style>"
+    page = css + "<p class='a x'>no<p class=x style='display:block'>yes<i id=y>no</i><b class=z>no</b><i class=z>two</i><ruby>k<rp>(</rp><rt>r</rt></ruby><p style='display&#58;none'>no"
+    assert html_text.page_text(page).split() == ["yestwokr"]
+    assert html_text.page_text("<style media=print>p{display:none}</style><p>a") == "a"
+    assert html_text.page_text("<style>p{display:none} p.k{display:block}</style><p>no<p class=k>a") == "a"
+    assert html_text.page_text("<style>} p{</style><p>a<style>b{display:none") == "a"
+
+
+def test_one_column_tables_are_laid_out_in_place():
+    assert html_text.page_text("<ul><li><table><tr><td><p>a</p></td></tr></table><li><table><tr><td><ul><li>b</ul></td></tr></table></ul><p>z<table><tr><td><p>q<tr><td><td></table>") == "- a\n\n- - b\n\nz\n\nq"
+    assert html_text.page_text("a<table><tr><td></td></tr><tr><td><p>b<p>c</td></tr><tr><td>d</table>e") == "a\n\nb\n\nc\nd\n\ne"
