@@ -18,6 +18,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,17 @@ from pyspark.sql import functions as F
 from listingmill.llm.common import id_text, materialize
 
 #: Characters of text and rows of a block; a longer text is a block of its own.
-BLOCK_CHARS, BLOCK_ROWS = 8 << 20, 50_000
+BLOCK_CHARS, BLOCK_ROWS = 2 << 20, 20_000
+#: Bytes of pieces that a worker remembers in each of two generations, and characters of the longest one.
+REMEMBERED, LONG = 12 << 20, 64
+#: Characters that are tokenized at once; bytes that remembering a piece takes besides its own.
+_AT_ONCE, _ENTRY = 1 << 16, 300
 #: Where a text is cut: a single space, with a letter, digit or visible ASCII character on both sides.
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
+_EDGES = re.compile(r"[!-~\w](?:.*[!-~\w])?\Z", re.S)
 _SPACE = "▁"
+#: What follows a member of a group: others of its side, the other side, the next group.
+_AFTER = (",", "|", ";")
 _B_BITS = 32
 
 
@@ -83,6 +91,10 @@ class Pair:
         self.a_bytes = [names.get(i, b"") for i in range(max(names, default=-1) + 1)]
         marks = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-Fa-f]{2}>", m) else m.replace(_SPACE, " ").encode() for m in marks]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in names], np.int64) for names in (self.a_bytes, self.b_bytes))
+        self.met: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
+        self.held = 0
         # A's splitter begins a word at a single space; a piece of B with a space behind another character could join both sides of a cut
         spec = json.loads(byte_level)
         splits = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items() <= (spec["pre_tokenizer"] or {}).items()
@@ -92,91 +104,128 @@ class Pair:
         return _CUT.split(text) if self.cuts else [text]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        fast = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-        return [e.ids for e in fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts)
-
-
-class Aligned:
-    """Links and groups of some different texts. A text is whole if both tokenizers give back its bytes; others have no tokens."""
-
-    def __init__(self, pair: Pair, texts: list[str]):
-        a_ids, b_ids = pair.encode(texts)
-        self.whole = np.zeros(len(texts), bool)
-        kept_a, kept_b = [], []
-        for i, (text, a, b) in enumerate(zip(texts, a_ids, b_ids, strict=True)):
-            raw = (" " + text).encode()
-            if b"".join(map(pair.a_bytes.__getitem__, a)) == raw and b"".join(map(pair.b_bytes.__getitem__, b)) == raw:
-                self.whole[i] = True
-                kept_a.append(a)
-                kept_b.append(b)
-        own = np.flatnonzero(self.whole)
-        self.n_a, self.n_b, self.n_groups, self.n_links = (np.zeros(len(texts), np.int64) for _ in range(4))
-        self.n_a[own], self.n_b[own] = [len(x) for x in kept_a], [len(x) for x in kept_b]
-        a = np.array([i for x in kept_a for i in x], np.int64)
-        b = np.array([i for x in kept_b for i in x], np.int64)
-        # ends of all tokens, all texts behind one another, in bytes
-        end_a = np.cumsum(np.array([len(x) for x in pair.a_bytes], np.int64)[a])
-        end_b = np.cumsum(np.array([len(x) for x in pair.b_bytes], np.int64)[b])
-        # between two neighbouring ends of either kind lies the overlap of exactly one token of A and one of B
-        ends = np.union1d(end_a, end_b)
-        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        self.links = a[at_a] << _B_BITS | b[at_b]
-        text_a = np.repeat(own, self.n_a[own])
-        of_link = text_a[at_a]
-        self.n_links += np.bincount(of_link, minlength=len(texts))
-        self.link_bounds = np.r_[0, np.cumsum(self.n_links)]
-        root = groups_of(at_a, at_b + len(a), len(a) + len(b))
-        # tokens of A are the smaller nodes, so a root is the first token of A in its group
-        first = root[: len(a)] == np.arange(len(a))
-        self.n_groups += np.bincount(text_a[first], minlength=len(texts))
-        self.written = [b""] * len(texts)
-        group_a, group_b = np.cumsum(first) - 1, (np.cumsum(first) - 1)[root[len(a) :]]
-        cut_a, cut_b = (np.searchsorted(g, np.arange(1, int(first.sum()))) for g in (group_a, group_b))
-        sides = [[",".join(map(str, part)) for part in _split(ids.tolist(), cut)] for ids, cut in ((a, cut_a), (b, cut_b))]
-        joined = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+        """Ids of both tokenizers behind a space. Texts that begin and end as a cut does go through A as one text, and are told apart by their bytes."""
+        plain = [i for i, t in enumerate(texts) if self.cuts and _EDGES.match(t)]
+        others = sorted(set(range(len(texts))) - set(plain))
+        out: list = [None] * len(texts)
+        if plain:
+            ids = self.a.encode("".join([" " + texts[i] for i in plain]), add_special_tokens=False).ids
+            ends = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum([len(texts[i].encode()) + 1 for i in plain])) + 1
+            for i, s, e in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = ids[s:e]
+        for i in others:
+            out[i] = self.a.encode(" " + texts[i], add_special_tokens=False).ids
+        return out, self.b.encode(texts)
+
+    def aligned(self, texts: list[str]) -> dict[str, tuple]:
+        """The figures of different texts (``align_texts``), most of them remembered from earlier blocks."""
+        if self.held > REMEMBERED:
+            self.met, self.before, self.held = {}, self.met, 0
+        out, missing = {}, []
+        for t in texts:
+            found = self.met.get(t) or self.before.get(t)
+            if found is None:
+                missing.append(t)
+            else:
+                out[t] = found
         at = 0
-        for i in own:
-            n = int(self.n_groups[i])
-            self.written[i] = ";".join(joined[at : at + n]).encode()
-            at += n
-
-
-def _split(ids: list[int], cuts: np.ndarray) -> list[list[int]]:
-    bounds = [0, *cuts.tolist(), len(ids)]
-    return [ids[s:e] for s, e in zip(bounds[:-1], bounds[1:], strict=True)] if ids else []
+        while at < len(missing):
+            end, size = at, 0
+            while end < len(missing) and (end == at or size + len(missing[end]) < _AT_ONCE):
+                size += len(missing[end])
+                end += 1
+            out.update(zip(missing[at:end], align_texts(self, missing[at:end]), strict=True))
+            at = end
+        for t in missing:
+            if len(t) <= LONG:
+                self.met[t] = out[t]
+                self.held += _ENTRY + len(t) + len(out[t][4]) + len(out[t][5])
+        return out
+
+
+def align_texts(pair: Pair, texts: list[str]) -> list[tuple]:
+    """Of each text: whether both tokenizers give back its bytes, n_a, n_b, n_groups, links (A's id above, B's below 32 bits; as bytes), groups as written.
+
+    Texts that do not come back have no tokens.
+    """
+    a_ids, b_ids = pair.encode(texts)
+    raw = [(" " + t).encode() for t in texts]
+    flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids)]
+    lengths = [np.fromiter(map(len, x), np.int64, len(texts)) for x in (a_ids, b_ids)]
+    size = np.fromiter(map(len, raw), np.int64, len(texts))
+    bounds = [np.r_[0, np.cumsum(n)] for n in lengths]
+    sums = [np.diff(np.r_[0, np.cumsum(sizes[ids])][to]) for sizes, ids, to in zip((pair.a_sizes, pair.b_sizes), flat, bounds, strict=True)]
+    joined = b"".join(raw)
+    if all((n == size).all() for n in sums) and all(b"".join(map(names.__getitem__, ids.tolist())) == joined for names, ids in zip((pair.a_bytes, pair.b_bytes), flat, strict=True)):
+        whole = np.ones(len(texts), bool)
+        a, b = flat
+    else:
+        whole = np.array([b"".join(map(pair.a_bytes.__getitem__, x)) == r and b"".join(map(pair.b_bytes.__getitem__, y)) == r for x, y, r in zip(a_ids, b_ids, raw, strict=True)], bool)
+        a, b = (ids[np.repeat(whole, n)] for ids, n in zip(flat, lengths, strict=True))
+    n_a, n_b = (np.where(whole, n, 0) for n in lengths)
+    # ends of all tokens, all texts behind one another, in bytes
+    end_a, end_b = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
+    # between two neighbouring ends of either kind lies the overlap of exactly one token of A and one of B
+    ends = np.union1d(end_a, end_b)
+    at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    text_a = np.repeat(np.arange(len(texts)), n_a)
+    n_links = np.bincount(text_a[at_a], minlength=len(texts))
+    root = groups_of(at_a, at_b + len(a), len(a) + len(b))
+    # tokens of A are the smaller nodes, so a root is the first token of A in its group
+    first = root[: len(a)] == np.arange(len(a))
+    n_groups = np.bincount(text_a[first], minlength=len(texts))
+    number = np.cumsum(first) - 1
+    # members in order of group, side and place, each with what follows it: a comma, or | and ; at the ends of sides
+    group = np.r_[number[root[: len(a)]], number[root[len(a) :]]]
+    side = np.repeat([0, 1], [len(a), len(b)])
+    order = np.lexsort((np.arange(len(group)), side, group))
+    key = (group * 2 + side)[order]
+    last = np.ones(len(key), bool)
+    last[:-1] = key[1:] != key[:-1]
+    follows = np.where(last, 1 + side[order], 0)
+    members = [f"{i}{_AFTER[k]}" for i, k in zip(np.r_[a, b][order].tolist(), follows.tolist(), strict=True)]
+    written = "".join(members).encode()
+    place = np.r_[0, np.cumsum(np.fromiter(map(len, members), np.int64, len(members)))][np.r_[0, np.cumsum(n_a + n_b)]].tolist()
+    links = (a[at_a] << _B_BITS | b[at_b]).tobytes()
+    to = (8 * np.r_[0, np.cumsum(n_links)]).tolist()
+    return [(w, x, y, g, links[to[i] : to[i + 1]], written[place[i] : max(place[i], place[i + 1] - 1)]) for i, (w, x, y, g) in enumerate(zip(whole.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist(), strict=True))]
 
 
 def align_block(pair: Pair, texts: list[str]) -> dict:
     """What a block's row holds of some texts: figures by text, pieces by text, links by piece, and the block's pairs."""
     cut = [pair.pieces(t) if t else [] for t in texts]
-    names = list(dict.fromkeys(p for pieces in cut for p in pieces))
-    place = {p: i for i, p in enumerate(names)}
-    met = Aligned(pair, names)
+    met = pair.aligned(list(dict.fromkeys(chain.from_iterable(cut))))
     # where a piece does not come back byte for byte, the text as a whole decides, as one more piece
-    odd = [i for i, pieces in enumerate(cut) if len(pieces) > 1 and not all(met.whole[place[p]] for p in pieces)]
+    failed = {p for p, found in met.items() if not found[0]}
+    odd = [i for i, pieces in enumerate(cut) if len(pieces) > 1 and not failed.isdisjoint(pieces)] if failed else []
     for i in odd:
         cut[i] = [texts[i]]
-    if odd:
-        names = list(dict.fromkeys(p for pieces in cut for p in pieces))
-        place = {p: i for i, p in enumerate(names)}
-        met = Aligned(pair, names)
+    met |= pair.aligned(list({texts[i] for i in odd}))
+    names = list(dict.fromkeys(chain.from_iterable(cut)))
+    place = dict(zip(names, range(len(names)), strict=True))
+    found = list(map(met.__getitem__, names))
+    whole, n_a, n_b, n_groups = (np.array([f[k] for f in found], np.int64) for k in range(4))
+    links = np.frombuffer(b"".join([f[4] for f in found]), np.int64)
+    n_links = np.array([len(f[4]) // 8 for f in found], np.int64)
+    written = [f[5] for f in found]
     words, times, bounds, shas = [], [], [0], []
     totals = np.zeros((4, len(texts)), np.int64)
     for i, pieces in enumerate(cut):
-        word, n = np.unique(np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces)), return_counts=True)
-        if len(word) == 1 and not met.whole[word[0]]:
-            word, n, pieces = word[:0], n[:0], []
+        index = list(map(place.__getitem__, pieces))
+        word, n = np.unique(np.array(index, np.int64), return_counts=True)
+        if len(word) == 1 and not whole[word[0]]:
+            word, n, index = word[:0], n[:0], []
         words.append(word)
         times.append(n)
         bounds.append(bounds[-1] + len(word))
-        for k, of in enumerate((met.n_a, met.n_b, met.n_groups, met.n_links)):
+        for k, of in enumerate((n_a, n_b, n_groups, n_links)):
             totals[k, i] = (of[word] * n).sum()
-        shas.append(hashlib.sha256(b";".join([met.written[place[p]] for p in pieces])).hexdigest() if pieces else "")
+        shas.append(hashlib.sha256(b";".join(map(written.__getitem__, index))).hexdigest() if index else "")
     word, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (words, times))
-    pairs, link = np.unique(met.links, return_inverse=True)
+    pairs, link = np.unique(links, return_inverse=True)
     often = np.bincount(word, n, len(names)).astype(np.int64)
-    pair_n = np.bincount(link, np.repeat(often, met.n_links), len(pairs)).astype(np.int64)
-    return {"n_a": totals[0], "n_b": totals[1], "n_groups": totals[2], "n_links": totals[3], "sha": shas, "bounds": np.array(bounds), "word": word, "times": n, "link_bounds": met.link_bounds, "link": link, "pairs": pairs, "pair_n": pair_n}
+    pair_n = np.bincount(link, np.repeat(often, n_links), len(pairs)).astype(np.int64)
+    return {"n_a": totals[0], "n_b": totals[1], "n_groups": totals[2], "n_links": totals[3], "sha": shas, "bounds": np.array(bounds), "word": word, "times": n, "link_bounds": np.r_[0, np.cumsum(n_links)], "link": link, "pairs": pairs, "pair_n": pair_n}
 
 
 _BLOCK = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), **{c: pa.list_(pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")}, "sha": pa.list_(pa.string()), **{c: pa.list_(pa.int32()) for c in ("bounds", "word", "times", "link_bounds", "link")}, "pairs": pa.list_(pa.int64()), "pair_n": pa.list_(pa.int64())}
