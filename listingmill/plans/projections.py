@@ -136,3 +136,18 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Deals of the day\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).alias("body"),
         F.size("b").cast("long").alias("n_blocks"),
     )
+
+
+#: Titles put together from parts by key, thousands of different ones a state, with endings that make like ones.
+WORDS = (
+    ("Established", "Regional", "Family Owned", "Profitable", "Turnkey", "Niche", "Growing", "Commercial", "Absentee Run", "Premier", "Longtime", "Rural", "Coastal"),
+    ("Plumbing", "Roofing", "Water Testing", "HVAC", "Landscaping", "Software", "Medical Supply", "Fabrication", "Bakery", "Logistics", "Signage", "Laboratory", "Printing", "Janitorial", "Electrical", "Veterinary", "Packaging"),
+    ("Company", "Contractor", "Services", "Distributor", "Manufacturer", "Group", "Workshop"),
+    ("with Contracts", "near Downtown", "for Sale", "in Growth Market", "and Real Estate", "with Backlog", "since 1980", "serving Hospitals", "on Main Street", "by Retiring Owner", "with Loyal Staff"),
+)
+VARIED = f"""
+SELECT o_orderkey AS id, {pick('o_orderkey % 5', ['TX', 'TX', 'OK', 'LA', 'CO'])} AS state,
+  {pick('o_orderkey + o_custkey', WORDS[0])} || ' ' || {pick('CAST(floor(o_orderkey / 3) AS BIGINT)', WORDS[1])} || ' ' || {pick('o_custkey', WORDS[2])} || ' ' || {pick('o_orderkey * 5 + o_custkey', WORDS[3])}
+    || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' a' WHEN 2 THEN ' no ' || CAST(o_orderkey AS STRING) ELSE ' ltd' END AS title
+FROM {{orders}}
+"""

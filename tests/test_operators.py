@@ -109,6 +109,73 @@ def test_similar_titles_equal_all_pairs(spark):
     assert got == {(a, b) for a in titles for b in titles if a != b and resolve.alike(a, b)}
 
 
+def test_shared_pairs_bound_holds_for_every_alike_pair():
+    r = random.Random(4)
+    met = 0
+    for _ in range(6000):
+        a = "".join(r.choice("abc ") for _ in range(r.randint(2, 24)))
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choice(["", "a", "b", " "])
+        b = "".join(b)
+        if a != b and resolve.SequenceMatcher(None, a, b).ratio() > resolve.ALIKE:
+            met += 1
+            assert resolve.shared_pairs(a, b) >= resolve.least_shared(len(a) + len(b))
+            x, y = sorted((a, b), key=len)
+            if len(x) > resolve.SHORT:
+                flat = [1] * 27**2
+                tx, ty = resolve.pair_tokens(x, flat), resolve.pair_tokens(y, flat)
+                token = resolve._first_shared(tx, ty)
+                assert token in tx[: resolve.prefix_size(len(x), True)] and token in ty[: resolve.prefix_size(len(y), False)]
+    assert met > 500
+
+
+@pytest.mark.parametrize("block", [resolve.BLOCK, 7])
+def test_varied_titles_equal_all_pairs(spark, sf_dir, block):
+    from listingmill.plans.resolve_queries import varied_titles
+
+    rows = sorted(tuple(x) for x in varied_titles(spark, sf_dir).where("state <> 'TX'").collect())[: 400 if block == resolve.BLOCK else 120]
+    df = spark.createDataFrame(rows, "t string, state string")
+    want = {(s, a, b) for a, s in rows for b, z in rows if s == z and a != b and (resolve.SequenceMatcher(None, a, b).ratio() > resolve.ALIKE or (min(len(a.strip()), len(b.strip())) >= 12 and (a.strip() in b.strip() or b.strip() in a.strip())))}
+    met = resolve.title_candidates(df, df, block)
+    assert {(x.state, x.a, x.b) for x in resolve.similar_titles(df, df).collect()} == want
+    found = {(x.state, x.a, x.b) for x in met.collect()}
+    assert len(found) == met.count() and len(found) < 60 * len(rows)
+    assert {w for w in want if resolve.SequenceMatcher(None, *w[1:]).ratio() > resolve.ALIKE} <= found
+
+
+def in_order(rows):
+    first, out = {}, {}
+    for seq, u, f, state, t in rows:
+        keys = [x for x in (("u", u), ("f", f), ("t", t and (state, t))) if x[1] is not None]
+        out[seq] = min([first[k] for k in keys if k in first] + [n for k, n in first.items() if t and k[0] == "t" and k[1][0] == state and resolve.alike(t, k[1][1])], default=seq)
+        if out[seq] == seq:
+            for k in keys:
+                first.setdefault(k, seq)
+    return out
+
+
+@pytest.mark.parametrize("finish,rounds", [(0, 10**9), (8, 2), (10**6, 6)])
+def test_fold_of_keys_by_rounds_groups_and_in_order(spark, finish, rounds):
+    r = random.Random(7)
+    titles = ["water testing lab", "water testing labs", "water testing laboratory", "parts maker", "part maker", "roofing contractor", "roofing contractors of note"]
+    some = lambda p, v: v if r.random() < p else None
+    rows = [(i, some(0.4, f"u{r.randint(0, 30)}"), some(0.4, f"f{r.randint(0, 30)}"), *((r.choice(["TX", "OK"]), r.choice(titles)) if r.random() < 0.3 else (None, None))) for i in range(120)]
+    df = spark.createDataFrame(rows, "seq long, u string, f string, state string, t string")
+    assert {x.seq: x["into"] for x in resolve.first_matches(df, finish, rounds).collect()} == in_order(rows)
+
+
+def test_fold_of_a_long_chain_takes_few_jobs(spark):
+    rows = [(i, f"u{(i + 1) // 2}", f"f{i // 2}", None, None) for i in range(10_000)]
+    sc = spark.sparkContext
+    sc.setJobGroup("chain", "chain")
+    got = {x.seq: x["into"] for x in resolve.first_matches(spark.createDataFrame(rows, "seq long, u string, f string, state string, t string")).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("chain"))
+    sc.setJobGroup("", "")
+    assert got == in_order(rows) and jobs < 30
+
+
 def test_upsert_stored_row_by_row(spark):
     """Against writes one by one: replacement by the same mail, clearing by a sole source, filling by others."""
     kind = "id long, ext_id string, title string, url string, blurb string, source string, sub_source string, nickname string, city string, state string, county string, revenue double, ebitda double, sde double, asking double, business_model_type string, needs_text string, first_seen timestamp, last_seen timestamp, times_seen int"
