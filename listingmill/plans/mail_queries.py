@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from listingmill.functions import text
 from listingmill.operators import events, pages, splitters, survey, titles
 from listingmill.plans import projections as p
+from listingmill.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -246,3 +247,27 @@ _HTML = f"SELECT event_id, '<html><style>p {{}}</style><p>Dear ' || CAST(user_id
 @query("strip_html", "SELECT event_id, 'Dear ' || CAST(user_id AS STRING) || ' & co' || chr(10) || 'second' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || 'look (https://a.example/' || CAST(event_id AS STRING) || ')' AS text FROM events")
 def _html(s, d):
     return p.spark_view(s, d, _HTML).select("event_id", text.strip_html(F.col("html")).alias("text"))
+
+
+def nested_messages(b64: str) -> str:
+    """Messages whose parts are nested as deep as their conversation's number says, as JSON; ``b64`` is how an engine writes base64 of {}."""
+    leaf = lambda mime, text: f"""'{{{{"mimeType":"{mime}","body":{{{{"data":"' || {b64.format(text)} || '"}}}}}}}}'"""
+    inner = " || ',' || ".join([leaf("TEXT/html", "'<p>' || coalesce(text, '') || '</p>'"), "CASE WHEN turn % 3 = 0 THEN '{{\"mimeType\":\"image/png\",\"filename\":\"a.png\",\"body\":{{\"size\":7}}}}' ELSE " + leaf("text/plain", "coalesce(text, '')") + " END"])
+    later = leaf("text/plain", "'later'")
+    opened = """'{{"mimeType":"multipart/mixed","parts":['"""
+    return f"SELECT conv_id * 1000 + turn AS id, {opened} || repeat({opened}, CAST(conv_id % 9 AS INT)) || {inner} || repeat(']}}}},' || {later}, CAST(conv_id % 9 AS INT)) || ']}}}}' AS payload FROM {{conversations}}"
+
+
+@query(
+    "mime_walk",
+    f"""WITH RECURSIVE m AS ({nested_messages("to_base64(encode({}))").format(conversations="conversations")}), w AS (
+  SELECT id, []::BIGINT[] AS path, payload::JSON AS part FROM m
+  UNION ALL SELECT id, list_append(path, i), part->'parts'->(i::INT) FROM (SELECT id, path, part, unnest(range(json_array_length(part->'parts')::BIGINT)) AS i FROM w)
+), t AS (SELECT id, path, lower(part->>'mimeType') AS mime, part->'body'->>'data' AS data FROM w)
+SELECT id, decode(from_base64(arg_min(data, path) FILTER (mime = 'text/plain' AND data <> ''))) AS plain, decode(from_base64(arg_min(data, path) FILTER (mime = 'text/html' AND data <> ''))) AS html, count(*) AS parts, max(len(path))::BIGINT AS depth FROM t GROUP BY id""",
+)
+def _walk(s, d):
+    m = p.spark_view(s, d, nested_messages("replace(replace(base64(encode({}, 'UTF-8')), chr(13), ''), chr(10), '')")).select("id", F.parse_json("payload").alias("payload"))
+    parts = readers.walk_parts(m)
+    sizes = parts.groupBy("id").agg(F.count("*").alias("parts"), F.max(F.size("path")).cast("long").alias("depth"))
+    return readers.first_texts(parts).join(sizes, "id")

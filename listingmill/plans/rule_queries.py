@@ -96,6 +96,27 @@ def _report(s, d):
     return rules.score_deals(p.deals(s, d)).where("NOT rejected").orderBy(F.desc("strategic"), F.desc("score"), "id").limit(25).select("id", "score")
 
 
+def _capped(cap: int) -> str:
+    return f"WITH {_SCORE}, c AS (SELECT id, seen_day, score::INTEGER AS score, st, row_number() OVER (PARTITION BY seen_day ORDER BY st DESC, score DESC, id) AS place FROM g WHERE reject_reason IS NULL) SELECT id, CAST(seen_day AS STRING) AS seen_day, score, st AS strategic, place::INTEGER AS place FROM c WHERE st OR place <= {cap}"
+
+
+@query("report_cap", _capped(rules.REPORT_CAP))
+def _cap(s, d):
+    return _reported(s, d, rules.REPORT_CAP)
+
+
+@query("report_cap_tight", _capped(2))
+def _cap_tight(s, d):
+    return _reported(s, d, 2)
+
+
+def _reported(s, d, cap):
+    x = p.deals(s, d)
+    scored = rules.score_deals(x)
+    scored = scored if "seen_day" in scored.columns else scored.join(x.select("id", "seen_day"), "id")
+    return rules.capped_report(scored, "seen_day", cap).select("id", F.col("seen_day").cast("string").alias("seen_day"), "score", "strategic", "place")
+
+
 _FIT = f"""{_X}, y AS (SELECT *, {_sub(rules.FIT_STRATEGIC)} AS st, CASE {' '.join(f"WHEN {_sub(w)} THEN '{g}'" for g, w in rules.FIT_EXCLUDED)} END AS excl,
  upper(trim(coalesce(state, ''))) AS su, lower(trim(coalesce(city, ''))) AS ci, regexp_replace(lower(trim(coalesce(county, ''))), '\\s+county$', '') AS co, coalesce(ebitda, floor(sde * 0.85 + 0.5)) AS adj, CASE WHEN revenue > 0 THEN round(earn / revenue, 4) END AS margin FROM x),
 z AS (SELECT *, CASE WHEN su IN ('TX', '') AND (regexp_matches(ci, '^({_METROS})( |$)| ({_METROS})$| ({_METROS}) ') OR co IN {_in(rules.COUNTIES)} OR (su = 'TX' AND regexp_matches(concat_ws(' ', ci, co, t), '{_METROS}'))) THEN 'G1' WHEN su IN {_in(rules.NEAR_STATES)} THEN 'G2' WHEN su <> '' THEN 'G3' END AS geo,

@@ -71,3 +71,31 @@ def _stage(s, d):
     out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True).start().awaitTermination()
     found = s.read.parquet(f"{folder}/out/*")
     return found.groupBy("deal_id").agg(F.max_by("stage", "batch").alias("stage"))
+
+
+#: Attempts of the event table: two kinds of events are logins of one of 40 accounts, in hundredths of their real times, so that they come close.
+ATTEMPTS = "SELECT event_id AS attempt_id, 'a' || CAST(user_id % 40 AS STRING) AS account, {at} AS tried FROM {{events}} WHERE event_type IN ('click', 'view')"
+
+
+@query(
+    "login_attempts",
+    f"""WITH RECURSIVE e AS ({ATTEMPTS.format(at="epoch_ms(ts::TIMESTAMP) // 100").format(events="events")}), w AS (
+  SELECT account, min(tried) AS opened FROM e GROUP BY account
+  UNION ALL SELECT e.account, min(e.tried) FROM w JOIN e ON e.account = w.account AND e.tried > w.opened + 600000 GROUP BY e.account
+), r AS (
+  SELECT e.attempt_id, e.account, row_number() OVER (PARTITION BY e.account, w.opened ORDER BY e.tried, e.attempt_id) AS attempt
+  FROM e JOIN w ON w.account = e.account AND e.tried BETWEEN w.opened AND w.opened + 600000
+)
+SELECT account AS key, attempt_id, attempt::INTEGER AS attempt, attempt > 10 AS denied FROM r""",
+)
+def _logins(s, d):
+    folder = _folder(s)
+    e = p.spark_view(s, d, ATTEMPTS.format(at="timestamp_millis(unix_millis(CAST(ts AS TIMESTAMP)) div 100)"))
+    # three deliveries, the attempts of each in any order, then a tick a day later with which all of them are due
+    cuts = e.agg(F.min("tried").alias("a"), F.max("tried").alias("z")).select(*[F.expr(f"a + (z - a) * {k} / 3") for k in range(4)], F.expr("z + INTERVAL 1 DAY")).first()
+    for k in range(3):
+        e.where((F.col("tried") > F.lit(cuts[k]) if k else F.lit(True)) & (F.col("tried") <= F.lit(cuts[k + 1]) if k < 2 else F.lit(True))).orderBy(F.xxhash64("attempt_id")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    s.range(1).select(F.lit(-1).cast("long").alias("attempt_id"), F.lit("tick").alias("account"), F.lit(cuts[4]).alias("tried")).write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.read_stream(s, f"{folder}/in", e.schema, files=1)
+    jobs.run_to_end(jobs.limited_attempts(stream, "account", "attempt_id", "tried"), f"{folder}/out", f"{folder}/check")
+    return s.read.schema("key string, attempt_id long, attempt int, denied boolean").parquet(f"{folder}/out").where("key <> 'tick'")

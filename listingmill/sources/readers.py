@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,45 @@ def read_mailbox(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("id").alias("msg_id"), header(F.col("headers"), "from").alias("sender"), header(F.col("headers"), "subject").alias("subject"), header(F.col("headers"), "date").alias("received"), best_body(part(F.col("parts"), "text/plain"), part(F.col("parts"), "text/html")).alias("body"))
 
 
+PART = "mimeType string, filename string, body struct<data:string,size:long,attachmentId:string>"
+
+
+def decoded(data: Column) -> Column:
+    """Text of a body in URL-safe base64: bytes that are not UTF-8 are replaced, a body that is not base64 is null."""
+    return F.make_valid_utf8(F.try_to_binary(F.translate(data, "-_", "+/"), F.lit("base64")).cast("string"))
+
+
+def walk_parts(messages: DataFrame) -> DataFrame:
+    """(id, path, mime, data, filename, size, attachment_id) of every part, at any depth, of messages (id, payload: variant).
+
+    ``path`` numbers the parts from the payload down, so its order is that of a walk from the top. Parts are unnested a level at a time until
+    none holds others: as many steps as the deepest message has levels. A part that is no object, or has fields of other types, has nulls for them.
+    """
+    field = lambda name, kind: F.try_variant_get("part", name, kind)
+    level = messages.select("id", F.array().cast("array<int>").alias("path"), F.col("payload").alias("part"))
+    levels = []
+    while True:
+        own = level.select("id", "path", F.lower(F.coalesce(field("$.mimeType", "string"), F.lit(""))).alias("mime"), field("$.body.data", "string").alias("data"), field("$.filename", "string").alias("filename"), field("$.body.size", "long").alias("size"), field("$.body.attachmentId", "string").alias("attachment_id"))
+        levels.append(own)
+        below = level.select("id", "path", F.posexplode(field("$.parts", "array<variant>")).alias("i", "below"))
+        level = below.select("id", F.array_append("path", F.col("i")).alias("path"), F.col("below").alias("part")).checkpoint()
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, levels)
+
+
+def first_texts(parts: DataFrame) -> DataFrame:
+    """(id, plain, html): the first text of either kind, in the order of a walk, of every message that has parts."""
+    first = lambda mime: F.min_by("data", F.when((F.col("mime") == mime) & (F.coalesce("data", F.lit("")) != ""), F.col("path")))
+    texts = parts.groupBy("id").agg(first("text/plain").alias("plain"), first("text/html").alias("html"))
+    return texts.select("id", decoded(F.col("plain")).alias("plain"), decoded(F.col("html")).alias("html"))
+
+
+def read_nested_mailbox(spark: SparkSession, path: str) -> DataFrame:
+    """Messages (id, payload: variant with its headers and parts) of JSON objects, one a line; lines that are none, or without id, are left out."""
+    raw = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
+    return raw.select(F.try_variant_get("v", "$.id", "string").alias("id"), F.try_variant_get("v", "$.payload", "variant").alias("payload")).where("id IS NOT NULL")
+
+
 def attachments(messages: DataFrame) -> DataFrame:
     """(id, filename, mime, size, attachment_id) of every named part."""
     return messages.select("id", F.explode("parts").alias("p")).where("p.filename <> ''").select("id", "p.filename", "p.mime", "p.size", "p.attachment_id")
