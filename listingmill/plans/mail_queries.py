@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from listingmill.functions import text
-from listingmill.operators import events, pages, splitters, survey, titles
+from listingmill.operators import events, pages, senders, splitters, survey, titles
 from listingmill.plans import projections as p
 from listingmill.sources import readers
 
@@ -271,3 +271,25 @@ def _walk(s, d):
     parts = readers.walk_parts(m)
     sizes = parts.groupBy("id").agg(F.count("*").alias("parts"), F.max(F.size("path")).cast("long").alias("depth"))
     return readers.first_texts(parts).join(sizes, "id")
+
+
+#: A catalog with entries for each supplier and messages from customers whose senders lie under them, beside them and elsewhere.
+_ENTRIES = """
+SELECT 0 AS step, s_suppkey AS place, 'address' AS match, 'alerts@s' || CAST(s_suppkey AS STRING) || '.example' AS key, 'Box ' || CAST(s_suppkey AS STRING) AS label, 'm' || CAST(s_suppkey AS STRING) AS subcategory FROM {supplier} WHERE s_suppkey % 4 = 0
+UNION ALL SELECT 1, s_suppkey, 'under', 'mail.s' || CAST(s_suppkey AS STRING) || '.example', 'Mail ' || CAST(s_suppkey AS STRING), 'w' || CAST(s_suppkey AS STRING) FROM {supplier} WHERE s_suppkey % 5 = 0
+UNION ALL SELECT 1, s_suppkey, 'domain', 's' || CAST(s_suppkey AS STRING) || '.example', 'Own ' || CAST(s_suppkey AS STRING), 'd' || CAST(s_suppkey AS STRING) FROM {supplier} WHERE s_suppkey % 7 = 0
+UNION ALL SELECT 2, 2 * s_suppkey + 1, 'under', 's' || CAST(s_suppkey AS STRING) || '.example', 'Supplier ' || CAST(s_suppkey AS STRING), NULL FROM {supplier}
+UNION ALL SELECT 2, 2 * s_suppkey + CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 2 END, 'under', 'eu.s' || CAST(s_suppkey AS STRING) || '.example', 'Europe ' || CAST(s_suppkey AS STRING), NULL FROM {supplier} WHERE s_suppkey % 3 = 0
+UNION ALL SELECT 3, s_suppkey, 'address', 'news@x' || CAST(s_suppkey AS STRING) || '.other', 'News ' || CAST(s_suppkey AS STRING), NULL FROM {supplier}
+UNION ALL SELECT 4, s_suppkey, 'under', 'x' || CAST(s_suppkey AS STRING) || '.other', 'Format ' || CAST(s_suppkey AS STRING), NULL FROM {supplier} WHERE s_suppkey % 2 = 0
+"""
+_SENT = f"SELECT o_orderkey AS id, {p.pick('o_orderkey', ('alerts', 'news', 'me'))} || '@' || {p.pick('CAST(floor(o_orderkey / 3) AS BIGINT)', ('', 'mail.', 'eu.', 'a.b.', 'not'))} || {p.pick('o_custkey', ('s', 'x'))} || CAST(o_custkey % 1500 AS STRING) || CASE o_custkey % 2 WHEN 0 THEN '.example' ELSE '.other' END AS address FROM {{orders}}"
+
+
+@query(
+    "sender_catalog",
+    f"WITH e AS ({p.duck(_ENTRIES)}), m AS ({p.duck(_SENT)}), a AS (SELECT DISTINCT address, split_part(address, '@', 2) AS domain FROM m), f AS (SELECT a.address, e.label, e.subcategory FROM a JOIN e ON (e.match = 'address' AND e.key = a.address) OR (e.match = 'domain' AND e.key = a.domain) OR (e.match = 'under' AND (a.domain = e.key OR ends_with(a.domain, '.' || e.key))) QUALIFY row_number() OVER (PARTITION BY a.address ORDER BY e.step, e.place, e.key) = 1) SELECT m.id, CASE WHEN f.label IS NOT NULL THEN f.label WHEN contains(m.address, 'x7') THEN 'Seven' ELSE upper(left(split_part(split_part(m.address, '@', 2), '.', -2), 1)) || substr(split_part(split_part(m.address, '@', 2), '.', -2), 2) END AS nickname, f.subcategory FROM m LEFT JOIN f ON f.address = m.address",
+)
+def _catalog(s, d):
+    m = p.spark_view(s, d, _SENT).withColumns({"domain": F.substring_index("address", "@", -1), "hay": F.lit("")})
+    return senders.label_senders(m, p.spark_view(s, d, _ENTRIES), ((r"x7", "Seven"),)).select("id", "nickname", "subcategory")
