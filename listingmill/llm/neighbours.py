@@ -30,8 +30,8 @@ from listingmill.llm.common import checked_broadcast, materialize
 TABLES, CELL_ROWS, BLOCK, SEED = 10, 32, 8192, 11
 #: Tables, and cells of each, that the first pass looks into.
 FIRST_TABLES, FIRST_PROBES = 3, 4
-#: The share of true neighbours that the probes must reach on the sample, its queries, and the most cells of one table they may take.
-TARGET, SAMPLE, MOST_PROBES = 0.965, 64, 4096
+#: The share of true neighbours that the probes must reach on the sample, its queries, and how many cells of one table are looked at first.
+TARGET, SAMPLE, FIRST_CELLS = 0.965, 64, 4096
 
 
 def rotations(dim: int, count: int, seed: int) -> np.ndarray:
@@ -202,10 +202,11 @@ def true_neighbours(index: DataFrame, asked: list[tuple[int, bytes]], dim: int,
     return _ranked(best.dropDuplicates(["query_id", "vec_id", "vector"]), k).select("query_id", "vector").collect()
 
 
-def tuned_probes(index: DataFrame, queries: DataFrame, hashes: Hashes, dim: int, dtype: str, k: int, target: float = TARGET, sample: int = SAMPLE, most: int = MOST_PROBES) -> int:
+def tuned_probes(index: DataFrame, queries: DataFrame, hashes: Hashes, dim: int, dtype: str, k: int, target: float = TARGET, sample: int = SAMPLE, most: int = FIRST_CELLS) -> int:
     """The fewest cells a table with which the sample's queries would reach ``target`` of their true neighbours.
 
-    At most ``sample`` queries (by a hash of their ids) and ``k`` neighbours of each come to the driver.
+    At most ``sample`` queries (by a hash of their ids) and ``k`` neighbours of each come to the driver. Where the ``most`` nearest cells do not
+    reach the target, twice as many are looked at, up to all.
     """
     asked = [(r["id"], np.array(r["vector"], dtype).tobytes()) for r in queries.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
     if not asked:
@@ -214,14 +215,19 @@ def tuned_probes(index: DataFrame, queries: DataFrame, hashes: Hashes, dim: int,
     pairs = true_neighbours(index, asked, dim, dtype, k)
     if not pairs:
         return 1
-    most = min(most, hashes.cells)
-    order = dict(zip(vector, hashes.near(_unit(np.stack(list(vector.values()))), most), strict=True))
     own = hashes.own(_unit(np.stack([np.frombuffer(r["vector"], dtype) for r in pairs])))
-    need = []
-    for r, cells in zip(pairs, own, strict=True):
-        hit = order[r["query_id"]] == cells[:, None]
-        need.append(min((int(h.argmax()) + 1 for h in hit if h.any()), default=most))
-    return sorted(need)[max(0, int(np.ceil(target * len(need))) - 1)]
+    unit, wanted = _unit(np.stack(list(vector.values()))), max(1, int(np.ceil(target * len(pairs))))
+    most = min(most, hashes.cells)
+    while True:
+        order = dict(zip(vector, hashes.near(unit, most), strict=True))
+        need = []
+        for r, cells in zip(pairs, own, strict=True):
+            hit = order[r["query_id"]] == cells[:, None]
+            need.append(min((int(h.argmax()) + 1 for h in hit if h.any()), default=most + 1))
+        need.sort()
+        if need[wanted - 1] <= most:
+            return need[wanted - 1]
+        most = min(hashes.cells, 2 * most)
 
 
 def _search(index: DataFrame, queries: DataFrame, hashes: Hashes, dim: int, dtype: str, k: int, probes: int, block: int) -> DataFrame:

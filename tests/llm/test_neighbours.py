@@ -84,3 +84,16 @@ def test_rotation_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 48))
     for s in neighbours.rotations(48, 3, 1):
         assert np.allclose(np.linalg.norm(neighbours.rotate(x, s), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_no_cap_on_the_probes_that_the_target_takes(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(2)
+    x = r.standard_normal((600, 32)).astype("float32")
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vector array<float>")
+    hashes = neighbours.Hashes(32, 2, [64, 4], 3)
+    queries = df.where(F.col("id") % 20 == 0)
+    want = neighbours.tuned_probes(df, queries, hashes, 32, "float32", 5, 0.99, most=10**6)
+    assert want > 8
+    assert all(neighbours.tuned_probes(df, queries, hashes, 32, "float32", 5, 0.99, most=m) == want for m in (1, 3, want))
