@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from listingmill.llm.common import id_text, materialize
 
 #: Characters of text and rows of a block; a longer text is a block of its own.
-BLOCK_CHARS, BLOCK_ROWS = 2 << 20, 20_000
+BLOCK_CHARS, BLOCK_ROWS = 4 << 20, 20_000
 #: Bytes of pieces that a worker remembers in each of two generations, and characters of the longest one.
-REMEMBERED, LONG = 12 << 20, 64
+REMEMBERED, LONG = 96 << 20, 64
 #: Characters that are tokenized at once; bytes that remembering a piece takes besides its own.
 _AT_ONCE, _ENTRY = 1 << 16, 300
 #: Where a text is cut: a single space, with a letter, digit or visible ASCII character on both sides.
@@ -109,25 +109,32 @@ class Pair:
         others = sorted(set(range(len(texts))) - set(plain))
         out: list = [None] * len(texts)
         if plain:
-            ids = self.a.encode("".join([" " + texts[i] for i in plain]), add_special_tokens=False).ids
+            ids = self._a(["".join([" " + texts[i] for i in plain])])[0].ids
             ends = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum([len(texts[i].encode()) + 1 for i in plain])) + 1
             for i, s, e in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 out[i] = ids[s:e]
         for i in others:
-            out[i] = self.a.encode(" " + texts[i], add_special_tokens=False).ids
-        return out, self.b.encode(texts)
+            out[i] = self._a([" " + texts[i]])[0].ids
+        return out, self.b.encode(texts, num_threads=1)
+
+    def _a(self, texts: list[str]):
+        # places in the text are not needed
+        return getattr(self.a, "encode_batch_fast", self.a.encode_batch)(texts, add_special_tokens=False)
 
     def aligned(self, texts: list[str]) -> dict[str, tuple]:
         """The figures of different texts (``align_texts``), most of them remembered from earlier blocks."""
         if self.held > REMEMBERED:
             self.met, self.before, self.held = {}, self.met, 0
-        out, missing = {}, []
-        for t in texts:
-            found = self.met.get(t) or self.before.get(t)
-            if found is None:
-                missing.append(t)
-            else:
-                out[t] = found
+        met, before, missing = self.met, self.before, []
+        out = {t: met[t] for t in texts if t in met}
+        for t in texts if len(out) < len(texts) else ():
+            if t not in out:
+                found = before.get(t)
+                if found is None:
+                    missing.append(t)
+                else:
+                    out[t] = found
+                    self._remember(t, found)
         at = 0
         while at < len(missing):
             end, size = at, 0
@@ -138,10 +145,13 @@ class Pair:
             at = end
         for t in missing:
             if len(t) <= LONG:
-                self.met[t] = out[t]
-                self.held += _ENTRY + len(t) + len(out[t][4]) + len(out[t][5])
+                self._remember(t, out[t])
         return out
 
+    def _remember(self, text: str, found: tuple) -> None:
+        self.met[text] = found
+        self.held += _ENTRY + len(text) + len(found[4]) + len(found[5])
+
 
 def align_texts(pair: Pair, texts: list[str]) -> list[tuple]:
     """Of each text: whether both tokenizers give back its bytes, n_a, n_b, n_groups, links (A's id above, B's below 32 bits; as bytes), groups as written.
