@@ -138,16 +138,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Titles put together from parts by key, thousands of different ones a state, with endings that make like ones.
+#: Titles put together from parts and a name made of the key's digits, each twice in its area with different endings.
 WORDS = (
     ("Established", "Regional", "Family Owned", "Profitable", "Turnkey", "Niche", "Growing", "Commercial", "Absentee Run", "Premier", "Longtime", "Rural", "Coastal"),
     ("Plumbing", "Roofing", "Water Testing", "HVAC", "Landscaping", "Software", "Medical Supply", "Fabrication", "Bakery", "Logistics", "Signage", "Laboratory", "Printing", "Janitorial", "Electrical", "Veterinary", "Packaging"),
     ("Company", "Contractor", "Services", "Distributor", "Manufacturer", "Group", "Workshop"),
-    ("with Contracts", "near Downtown", "for Sale", "in Growth Market", "and Real Estate", "with Backlog", "since 1980", "serving Hospitals", "on Main Street", "by Retiring Owner", "with Loyal Staff"),
 )
+_PAIR = "CAST(floor(o_orderkey / 2) AS BIGINT)"
 VARIED = f"""
-SELECT o_orderkey AS id, {pick('o_orderkey % 5', ['TX', 'TX', 'OK', 'LA', 'CO'])} AS state,
-  {pick('o_orderkey + o_custkey', WORDS[0])} || ' ' || {pick('CAST(floor(o_orderkey / 3) AS BIGINT)', WORDS[1])} || ' ' || {pick('o_custkey', WORDS[2])} || ' ' || {pick('o_orderkey * 5 + o_custkey', WORDS[3])}
-    || CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' a' WHEN 2 THEN ' no ' || CAST(o_orderkey AS STRING) ELSE ' ltd' END AS title
+SELECT o_orderkey AS id, 'area ' || CAST({_PAIR} % 200 AS STRING) AS state,
+  {pick(_PAIR, WORDS[0])} || ' ' || {pick(f'CAST(floor({_PAIR} / 13) AS BIGINT)', WORDS[1])} || ' ' || {pick(f'{_PAIR} * 5', WORDS[2])}
+    || ' ' || translate(CAST(1000000 + {_PAIR} * 7919 % 999983 AS STRING), '0123456789', 'aeioumnrst') || ' ' || translate(CAST(1000000 + {_PAIR} * 104729 % 999979 AS STRING), '0123456789', 'bcdfglpkwz')
+    || CASE o_orderkey % 2 WHEN 0 THEN '' ELSE CASE {_PAIR} % 3 WHEN 0 THEN ' a' WHEN 1 THEN ' ltd' ELSE ' no ' || CAST(o_orderkey AS STRING) END END AS title
 FROM {{orders}}
 """
