@@ -37,6 +37,8 @@ _AT_ONCE, _ENTRY = 1 << 16, 300
 #: Where a text is cut: a single space, with a letter, digit or visible ASCII character on both sides.
 _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 _EDGES = re.compile(r"[!-~\w](?:.*[!-~\w])?\Z", re.S)
+#: A space that is no cut, seen from either side.
+_NO_CUTS = re.compile(r" (?![!-~\w])"), re.compile(r"[^!-~\w] ")
 _SPACE = "▁"
 #: What follows a member of a group: others of its side, the other side, the next group.
 _AFTER = (",", "|", ";")
@@ -92,6 +94,9 @@ class Pair:
         marks = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[3:5], 16)]) if re.fullmatch(r"<0x[0-9A-Fa-f]{2}>", m) else m.replace(_SPACE, " ").encode() for m in marks]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in names], np.int64) for names in (self.a_bytes, self.b_bytes))
+        # every id as it is written, with each of what may follow it
+        self.written = np.array([f"{i}{after}".encode() for i in range(max(len(self.a_bytes), len(self.b_bytes))) for after in _AFTER], object)
+        self.written_sizes = np.array([len(x) for x in self.written], np.int64)
         self.met: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
         self.held = 0
@@ -101,21 +106,30 @@ class Pair:
         self.cuts = splits and spec["normalizer"] is None and not any(re.search(f"[^{_SPACE}]{_SPACE}", m) for m in marks)
 
     def pieces(self, text: str) -> list[str]:
-        return _CUT.split(text) if self.cuts else [text]
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers behind a space. Texts that begin and end as a cut does go through A as one text, and are told apart by their bytes."""
-        plain = [i for i, t in enumerate(texts) if self.cuts and _EDGES.match(t)]
-        others = sorted(set(range(len(texts))) - set(plain))
-        out: list = [None] * len(texts)
-        if plain:
-            ids = self._a(["".join([" " + texts[i] for i in plain])])[0].ids
-            ends = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum([len(texts[i].encode()) + 1 for i in plain])) + 1
-            for i, s, e in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                out[i] = ids[s:e]
-        for i in others:
-            out[i] = self._a([" " + texts[i]])[0].ids
-        return out, self.b.encode(texts, num_threads=1)
+        if not self.cuts:
+            return [text]
+        return _CUT.split(text) if any(p.search(text) for p in _NO_CUTS) else text.split(" ")
+
+    def encode(self, texts: list[str], size: np.ndarray, joined: bool) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Of each tokenizer: ids of all texts, each behind a space, and how many each text has.
+
+        Texts that begin and end as a cut does (``joined``) go through as one, and are told apart by their bytes; ``size`` has those of each.
+        """
+        a = b = None
+        if joined:
+            text = " ".join(texts)
+            a, b = self._told_apart(self._a([" " + text])[0].ids, self.a_sizes, size), self._told_apart(self.b.encode(text), self.b_sizes, size)
+        if a is None:
+            a = _flat([x.ids for x in self._a([" " + t for t in texts])])
+        return a, b or _flat(self.b.encode(texts, num_threads=1))
+
+    @staticmethod
+    def _told_apart(ids: list[int], sizes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and how many each text has, or nothing where no token ends with a text."""
+        flat, to = np.array(ids, np.int64), np.cumsum(size)
+        ends = np.cumsum(sizes[flat])
+        last = np.searchsorted(ends, to)
+        return (flat, np.diff(last, prepend=-1)) if len(ends) and ends[-1] == to[-1] and (ends[last] == to).all() else None
 
     def _a(self, texts: list[str]):
         # places in the text are not needed
@@ -134,43 +148,46 @@ class Pair:
                     missing.append(t)
                 else:
                     out[t] = found
-                    self._remember(t, found)
-        at = 0
-        while at < len(missing):
-            end, size = at, 0
-            while end < len(missing) and (end == at or size + len(missing[end]) < _AT_ONCE):
-                size += len(missing[end])
-                end += 1
-            out.update(zip(missing[at:end], align_texts(self, missing[at:end]), strict=True))
-            at = end
-        for t in missing:
-            if len(t) <= LONG:
-                self._remember(t, out[t])
+                    self._remember([t], [found])
+        plain = [t for t in missing if t.isalnum() or _EDGES.match(t)] if self.cuts else []
+        others = list(set(missing).difference(plain))
+        for some, joined in ((plain, True), (others, False)):
+            until, at = np.cumsum(np.fromiter(map(len, some), np.int64, len(some))), 0
+            while at < len(some):
+                end = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + _AT_ONCE)))
+                found = align_texts(self, some[at:end], joined)
+                out.update(zip(some[at:end], found, strict=True))
+                self._remember(some[at:end], found)
+                at = end
         return out
 
-    def _remember(self, text: str, found: tuple) -> None:
-        self.met[text] = found
-        self.held += _ENTRY + len(text) + len(found[4]) + len(found[5])
+    def _remember(self, texts: list[str], found: list[tuple]) -> None:
+        short = {t: f for t, f in zip(texts, found, strict=True) if len(t) <= LONG}
+        self.met.update(short)
+        self.held += _ENTRY * len(short) + sum([len(t) + len(f[4]) + len(f[5]) for t, f in short.items()])
 
 
-def align_texts(pair: Pair, texts: list[str]) -> list[tuple]:
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def align_texts(pair: Pair, texts: list[str], joined: bool = False) -> list[tuple]:
     """Of each text: whether both tokenizers give back its bytes, n_a, n_b, n_groups, links (A's id above, B's below 32 bits; as bytes), groups as written.
 
     Texts that do not come back have no tokens.
     """
-    a_ids, b_ids = pair.encode(texts)
-    raw = [(" " + t).encode() for t in texts]
-    flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids)]
-    lengths = [np.fromiter(map(len, x), np.int64, len(texts)) for x in (a_ids, b_ids)]
-    size = np.fromiter(map(len, raw), np.int64, len(texts))
-    bounds = [np.r_[0, np.cumsum(n)] for n in lengths]
-    sums = [np.diff(np.r_[0, np.cumsum(sizes[ids])][to]) for sizes, ids, to in zip((pair.a_sizes, pair.b_sizes), flat, bounds, strict=True)]
-    joined = b"".join(raw)
-    if all((n == size).all() for n in sums) and all(b"".join(map(names.__getitem__, ids.tolist())) == joined for names, ids in zip((pair.a_bytes, pair.b_bytes), flat, strict=True)):
+    together = " " + " ".join(texts)
+    raw = together.encode()
+    size = np.fromiter(map(len, texts) if together.isascii() else [len(t.encode()) for t in texts], np.int64, len(texts)) + 1
+    (a, of_a), (b, of_b) = pair.encode(texts, size, joined)
+    flat, lengths, names = (a, b), (of_a, of_b), (pair.a_bytes, pair.b_bytes)
+    sums = [np.diff(np.cumsum(sizes[ids])[np.cumsum(n) - 1], prepend=0) if n.all() else 0 for sizes, ids, n in zip((pair.a_sizes, pair.b_sizes), flat, lengths, strict=True)]
+    if all((n == size).all() for n in sums) and all(b"".join(map(of.__getitem__, ids.tolist())) == raw for of, ids in zip(names, flat, strict=True)):
         whole = np.ones(len(texts), bool)
-        a, b = flat
     else:
-        whole = np.array([b"".join(map(pair.a_bytes.__getitem__, x)) == r and b"".join(map(pair.b_bytes.__getitem__, y)) == r for x, y, r in zip(a_ids, b_ids, raw, strict=True)], bool)
+        own = np.split(np.frombuffer(raw, np.uint8), np.cumsum(size)[:-1])
+        back = [[b"".join(map(of.__getitem__, x.tolist())) for x in np.split(ids, np.cumsum(n)[:-1])] for of, ids, n in zip(names, flat, lengths, strict=True)]
+        whole = np.array([x == y == z.tobytes() for x, y, z in zip(*back, own, strict=True)], bool)
         a, b = (ids[np.repeat(whole, n)] for ids, n in zip(flat, lengths, strict=True))
     n_a, n_b = (np.where(whole, n, 0) for n in lengths)
     # ends of all tokens, all texts behind one another, in bytes
@@ -193,9 +210,9 @@ def align_texts(pair: Pair, texts: list[str]) -> list[tuple]:
     last = np.ones(len(key), bool)
     last[:-1] = key[1:] != key[:-1]
     follows = np.where(last, 1 + side[order], 0)
-    members = [f"{i}{_AFTER[k]}" for i, k in zip(np.r_[a, b][order].tolist(), follows.tolist(), strict=True)]
-    written = "".join(members).encode()
-    place = np.r_[0, np.cumsum(np.fromiter(map(len, members), np.int64, len(members)))][np.r_[0, np.cumsum(n_a + n_b)]].tolist()
+    members = np.r_[a, b][order] * len(_AFTER) + follows
+    written = b"".join(pair.written[members].tolist())
+    place = np.r_[0, np.cumsum(pair.written_sizes[members])][np.r_[0, np.cumsum(n_a + n_b)]].tolist()
     links = (a[at_a] << _B_BITS | b[at_b]).tobytes()
     to = (8 * np.r_[0, np.cumsum(n_links)]).tolist()
     return [(w, x, y, g, links[to[i] : to[i + 1]], written[place[i] : max(place[i], place[i + 1] - 1)]) for i, (w, x, y, g) in enumerate(zip(whole.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist(), strict=True))]
@@ -213,29 +230,27 @@ def align_block(pair: Pair, texts: list[str]) -> dict:
     met |= pair.aligned(list({texts[i] for i in odd}))
     names = list(dict.fromkeys(chain.from_iterable(cut)))
     place = dict(zip(names, range(len(names)), strict=True))
-    found = list(map(met.__getitem__, names))
-    whole, n_a, n_b, n_groups = (np.array([f[k] for f in found], np.int64) for k in range(4))
-    links = np.frombuffer(b"".join([f[4] for f in found]), np.int64)
-    n_links = np.array([len(f[4]) // 8 for f in found], np.int64)
-    written = [f[5] for f in found]
-    words, times, bounds, shas = [], [], [0], []
-    totals = np.zeros((4, len(texts)), np.int64)
-    for i, pieces in enumerate(cut):
-        index = list(map(place.__getitem__, pieces))
-        word, n = np.unique(np.array(index, np.int64), return_counts=True)
-        if len(word) == 1 and not whole[word[0]]:
-            word, n, index = word[:0], n[:0], []
-        words.append(word)
-        times.append(n)
-        bounds.append(bounds[-1] + len(word))
-        for k, of in enumerate((n_a, n_b, n_groups, n_links)):
-            totals[k, i] = (of[word] * n).sum()
-        shas.append(hashlib.sha256(b";".join(map(written.__getitem__, index))).hexdigest() if index else "")
-    word, n = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (words, times))
+    columns = list(zip(*map(met.__getitem__, names), strict=True)) or [()] * 6
+    whole, n_a, n_b, n_groups = (np.array(c, np.int64) for c in columns[:4])
+    links = np.frombuffer(b"".join(columns[4]), np.int64)
+    n_links = np.fromiter(map(len, columns[4]), np.int64, len(names)) // 8
+    written = dict(zip(names, columns[5], strict=True))
+    at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64)
+    of_text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(texts)))
+    # what does not come back is now a text's only piece
+    lost = whole[at] == 0
+    for i in of_text[lost].tolist():
+        cut[i] = []
+    shas = [hashlib.sha256(b";".join(map(written.__getitem__, pieces))).hexdigest() if pieces else "" for pieces in cut]
+    # every text's different pieces and how often it has each
+    key, n = np.unique((of_text * len(names) + at)[~lost], return_counts=True)
+    of_text, word = np.divmod(key, max(len(names), 1))
+    bounds = np.searchsorted(of_text, np.arange(len(texts) + 1))
+    totals = [np.diff(np.r_[0, np.cumsum(of[word] * n)][bounds]) for of in (n_a, n_b, n_groups, n_links)]
     pairs, link = np.unique(links, return_inverse=True)
     often = np.bincount(word, n, len(names)).astype(np.int64)
     pair_n = np.bincount(link, np.repeat(often, n_links), len(pairs)).astype(np.int64)
-    return {"n_a": totals[0], "n_b": totals[1], "n_groups": totals[2], "n_links": totals[3], "sha": shas, "bounds": np.array(bounds), "word": word, "times": n, "link_bounds": np.r_[0, np.cumsum(n_links)], "link": link, "pairs": pairs, "pair_n": pair_n}
+    return {"n_a": totals[0], "n_b": totals[1], "n_groups": totals[2], "n_links": totals[3], "sha": shas, "bounds": bounds, "word": word, "times": n, "link_bounds": np.r_[0, np.cumsum(n_links)], "link": link, "pairs": pairs, "pair_n": pair_n}
 
 
 _BLOCK = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), **{c: pa.list_(pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")}, "sha": pa.list_(pa.string()), **{c: pa.list_(pa.int32()) for c in ("bounds", "word", "times", "link_bounds", "link")}, "pairs": pa.list_(pa.int64()), "pair_n": pa.list_(pa.int64())}
@@ -243,6 +258,12 @@ _BLOCK_SQL = "block long, doc_id array<long>, n_a array<long>, n_b array<long>,
 _loaded: dict[int, Pair] = {}
 
 
+def _one_list(values, kind: pa.ListType) -> pa.ListArray:
+    """A column of one row, a list, without an object for each member."""
+    flat = pa.array(values if isinstance(values, list) else values.astype(kind.value_type.to_pandas_dtype(), copy=False), kind.value_type)
+    return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
+
+
 def _pair(files) -> Pair:
     key = hash(files.value)
     if key not in _loaded:
@@ -259,7 +280,7 @@ def _blocks(files, block_chars: int):
             nonlocal number
             row = align_block(pair, texts) | {"doc_id": ids, "block": TaskContext.get().partitionId() << 32 | number}
             number += 1
-            return pa.RecordBatch.from_arrays([pa.array([row[c]] if c == "block" else [pa.scalar(list(row[c]) if c in ("sha", "doc_id") else row[c].tolist(), kind)], kind) for c, kind in _BLOCK.items()], names=list(_BLOCK))
+            return pa.RecordBatch.from_arrays([pa.array([row[c]], kind) if c == "block" else _one_list(row[c], kind) for c, kind in _BLOCK.items()], names=list(_BLOCK))
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
