@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from listingmill.llm.common import id_text, materialize
 
 #: Characters of text and rows of a block; a longer text is a block of its own.
-BLOCK_CHARS, BLOCK_ROWS = 4 << 20, 20_000
+BLOCK_CHARS, BLOCK_ROWS = 3 << 20, 20_000
 #: Bytes of pieces that a worker remembers in each of two generations, and characters of the longest one.
-REMEMBERED, LONG = 96 << 20, 64
+REMEMBERED, LONG = 32 << 20, 64
 #: Characters that are tokenized at once; bytes that remembering a piece takes besides its own.
 _AT_ONCE, _ENTRY = 1 << 16, 300
 #: Where a text is cut: a single space, with a letter, digit or visible ASCII character on both sides.
