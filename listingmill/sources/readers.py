@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +94,19 @@ def read_snapshot(spark: SparkSession, path: str, schema: str = "flow_import_v1"
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV snapshot by its header: trimmed, lenient numbers, JSON lists, an id made from the address or the title."""
     raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("multiLine", True).option("escape", '"').csv(path)
-    for c in ("ext_id", "title", "url", "url_norm", "state", "blurb", "needs_llm", "revenue", "ebitda", "sde", "asking"):
+    for c in CSV_TEXTS + CSV_NUMBERS:
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
+    return typed_csv(raw)
+
+
+CSV_TEXTS = ("ext_id", "title", "url", "url_norm", "state", "blurb", "needs_llm")
+CSV_NUMBERS = ("revenue", "ebitda", "sde", "asking")
+
+
+def typed_csv(raw: DataFrame) -> DataFrame:
     raw = raw.withColumn("url", F.coalesce("url", "url_norm"))
-    return raw.withColumns({c: to_number(F.col(c)) for c in ("revenue", "ebitda", "sde", "asking")} | {"needs_llm": F.coalesce(F.from_json("needs_llm", "array<string>"), F.array().cast("array<string>")), "ext_id": F.coalesce("ext_id", csv_ext_id(F.col("url"), F.col("title"), F.col("state")))})
+    return raw.withColumns({c: to_number(F.col(c)) for c in CSV_NUMBERS} | {"needs_llm": F.coalesce(F.from_json("needs_llm", "array<string>"), F.array().cast("array<string>")), "ext_id": F.coalesce("ext_id", csv_ext_id(F.col("url"), F.col("title"), F.col("state")))})
 
 
 def csv_ext_id(url: Column, title: Column, state: Column) -> Column:
@@ -112,7 +124,7 @@ def read_verdict_logs(spark: SparkSession, path: str, seen: DataFrame | None = N
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Saved bodies: what follows the line of 72 equal signs in each file."""
-    raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_name"))
+    raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
     return raw.select("file", F.coalesce(F.get(F.split("value", "={72}\\n?", 2), F.lit(1)), F.col("value")).alias("body"))
 
 
@@ -136,16 +148,42 @@ def newer_than(messages: DataFrame, days: int, now: Column, received: str = "rec
     return messages.where(at >= now - F.make_dt_interval(F.lit(days)))
 
 
-def import_folder(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
-    """Rows of the CSV files of a folder whose names are not in ``seen`` (file), each with its file's name."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
-    fresh = [r["path"] for r in names.join(seen.select("file"), "file", "left_anti").select("path").collect()]  # names of new files: what a person has dropped since
-    parts = [read_csv(spark, f).withColumn("file", F.lit(f.rsplit("/", 1)[-1])) for f in sorted(fresh)]
-    out = None
+def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of whole CSV files as maps by each file's own header, at most 10,000 at a time; empty cells are left out."""
     for part_ in parts:
-        out = part_ if out is None else out.unionByName(part_, allowMissingColumns=True)
-    return out if out is not None else read_csv_empty(spark)
+        for file, text in zip(part_["file"], part_["value"], strict=True):
+            lines = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), skipinitialspace=True)
+            names = [n.strip() for n in next(lines, [])]
+            held: list[tuple] = []
+            for row in lines:
+                cells = {n: c.strip() for n, c in zip(names, row, strict=False) if n and c.strip()}
+                if cells:
+                    held.append((file, cells))
+                if len(held) == 10_000:
+                    yield pd.DataFrame(held, columns=["file", "cells"])
+                    held = []
+            yield pd.DataFrame(held, columns=["file", "cells"])
+
+
+def csv_files(texts: DataFrame) -> DataFrame:
+    """Rows of CSV files (file, value: the whole text) whose headers may all differ, as one plan: the known columns, typed, and ``cells`` with every named cell.
+
+    A column that a file lacks is null, one that is not known is in ``cells``; of a name that repeats the last cell counts. A file without rows gives none.
+    """
+    rows = texts.mapInPandas(_cells, "file string, cells map<string,string>")
+    known = [F.try_element_at("cells", F.lit(c)).alias(c) for c in CSV_TEXTS + CSV_NUMBERS]
+    return typed_csv(rows.select("file", *known, "cells"))
+
+
+def _file_texts(reader, path: str, pattern: str) -> DataFrame:
+    return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
+
+
+def import_folder(spark: SparkSession, path: str, seen: DataFrame, pattern: str = "*.csv") -> DataFrame:
+    """Rows of the CSV files of a folder whose names are not in ``seen`` (file), each with its file's name and its own header."""
+    return csv_files(_file_texts(spark.read, path, pattern).join(seen.select("file").distinct(), "file", "left_anti"))
 
 
-def read_csv_empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "ext_id string, title string, url string, state string, blurb string, needs_llm array<string>, revenue double, ebitda double, sde double, asking double, file string")
+def folder_stream(spark: SparkSession, path: str, pattern: str = "*.csv", files: int = 1000) -> DataFrame:
+    """The same as a stream, in which a file is read once: the checkpoint of the query that writes it is the ledger of files."""
+    return csv_files(_file_texts(spark.readStream.option("maxFilesPerTrigger", files), path, pattern))

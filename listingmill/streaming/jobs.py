@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import IntegerType, StructField, StructType
+
+from listingmill.streaming import buckets
 
 
 def read_stream(spark: SparkSession, path: str, schema, files: int = 1000) -> DataFrame:
@@ -26,32 +27,16 @@ def run_to_end(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -
     df.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_latest(stream: DataFrame, table: str, checkpoint: str, key: str, order: list[str], parts: int = 64) -> None:
-    """Keep the last row of each key in a Parquet table that is split by a hash of the key, batch by batch.
-
-    A batch rewrites the parts that its keys fall into and no other: it reads their newest version before its own and writes
-    a new one under its number. A batch that is tried again after a failure writes the same version
-    from the same ones before. Versions that newer ones replace may be deleted at any time between batches.
-    """
+def upsert_latest(stream: DataFrame, table: str, checkpoint: str, key: str, order: list[str], most_rows: int = 1_000_000, share: float = 0.25) -> None:
+    """Keep the last row of each key in a table of buckets (see ``buckets``), batch by batch: a batch writes its own rows, and buckets that are due for it."""
 
     def batch(df: DataFrame, number: int) -> None:
-        new = df.withColumn("key_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
-        if number > 0:
-            touched = [r["key_part"] for r in new.select("key_part").distinct().collect()]  # at most ``parts`` numbers
-            new = current(df.sparkSession, table, df.schema, number).where(F.col("key_part").isin(touched)).unionByName(new)
-        last = new.groupBy("key_part", key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*", "key_part")
-        last.write.mode("overwrite").partitionBy("key_part").parquet(f"{table}/batch_no={number}")
+        buckets.upsert(df, number, table, key, order, most_rows, share)
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def current(spark: SparkSession, table: str, schema: StructType, before: int | None = None) -> DataFrame:
-    """The rows of such a table, with their part: of each part the newest version (before a batch's number)."""
-    kind = StructType([*schema.fields, StructField("batch_no", IntegerType()), StructField("key_part", IntegerType())])
-    files = spark.read.schema(kind).parquet(table)
-    files = files if before is None else files.where(F.col("batch_no") < before)
-    newest = files.groupBy("key_part").agg(F.max("batch_no").alias("batch_no"))  # a row a part: a number that the table was made with
-    return files.join(F.broadcast(newest), ["key_part", "batch_no"], "left_semi").select(*schema.names, "key_part")
+current = buckets.current
 
 
 def _advance(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -72,8 +57,6 @@ def stage_machine(events: DataFrame) -> DataFrame:
     return events.groupBy("deal_id").applyInPandasWithState(_advance, "deal_id long, stage string, last_event long", "stage string", "update", "NoTimeout")
 
 
-
-
 def _attempts(limit: int, window_ms: int):
     """Attempts of a key in the order of their times, each as soon as the watermark has passed it."""
 
