@@ -31,25 +31,30 @@ def page_error(text: Column) -> Column:
 _LABEL = "(?i)(?:" + "|".join(LABELS.values()) + ")"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value found once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _read_piece(piece: Column, before: Column, after: Column) -> Column:
     """A piece that begins with a label, between its neighbours: (field, value, rank). Rank 1: behind the label on its line; 2: alone on the next; 3: anywhere behind it; null: no value."""
-    low = F.lower(piece)
-    label = F.regexp_extract(low, "^" + _LABEL, 0)
-    field = F.coalesce(*[F.when(label.rlike(f"^(?:{p})$"), f) for f, p in LABELS.items()])
-    rest = F.substring(low, F.length(label) + 1, 1 << 30)
-    body = F.regexp_replace(rest, r"^\s+", "")
-    colon = F.startswith(body, F.lit(":"))
-    body = F.when(colon, F.substring(body, 2, 1 << 30)).otherwise(rest)
-    shown = F.regexp_replace(body, r"^\s+", "")
-    gap = F.substring(body, 1, F.length(body) - F.length(shown))
-    value = F.regexp_extract(shown, r"^(?:not\s+disclosed|\$[\d,]+(?:\.\d+)?)", 0)
-    # a label with a colon begins a line of its own, wherever it stands
-    opens = colon | (F.trim(F.substring_index(before, "\n", -1), F.lit(" \t")) == "")
-    tail = F.substring(shown, F.length(value) + 1, 1 << 30)
-    ends = (F.trim(F.substring_index(tail, "\n", 1), F.lit(" \t")) == "") & (F.contains(tail, F.lit("\n")) | (after == "") | after.rlike("^" + _LABEL + r"\s*:"))
-    below = F.contains(gap, F.lit("\n"))
-    rank = F.when(value == "", None).when(colon & ~below & ends, 1).when(below & opens & ends, 2).otherwise(3)
-    return F.struct(field.alias("field"), value.alias("value"), rank.alias("rank"))
+    def split(low: Column) -> Column:
+        label = F.regexp_extract(low, "^" + _LABEL, 0)
+        return F.struct(label.alias("label"), F.substring(low, F.length(label) + 1, 1 << 30).alias("rest"))
+
+    def cut(x: Column) -> Column:
+        m = lambda i: F.regexp_extract(x["rest"], r"^(\s*:)?(\s*)(not\s+disclosed|\$[\d,]+(?:\.\d+)?)(.*)", i)
+        return F.struct(x["label"].alias("label"), (m(1) != "").alias("colon"), F.contains(m(2), F.lit("\n")).alias("below"), m(3).alias("value"), F.substring(x["rest"], F.length(m(1)) + F.length(m(2)) + F.length(m(3)) + 1, 1 << 30).alias("tail"))
+
+    def ranked(x: Column) -> Column:
+        # a label with a colon begins a line of its own, wherever it stands
+        opens = x["colon"] | (F.trim(F.substring_index(before, "\n", -1), F.lit(" \t")) == "")
+        ends = (F.trim(F.substring_index(x["tail"], "\n", 1), F.lit(" \t")) == "") & (F.contains(x["tail"], F.lit("\n")) | (after == "") | after.rlike("^" + _LABEL + r"\s*:"))
+        rank = F.when(x["value"] == "", None).when(x["colon"] & ~x["below"] & ends, 1).when(x["below"] & opens & ends, 2).otherwise(3)
+        field = F.coalesce(*[F.when(x["label"].rlike(f"^(?:{p})$"), f) for f, p in LABELS.items()])
+        return F.struct(field.alias("field"), x["value"].alias("value"), rank.alias("rank"))
+
+    return _let(_let(_let(F.lower(piece), split), cut), ranked)
 
 
 def page_figures(text: Column) -> Column:
@@ -59,16 +64,18 @@ def page_figures(text: Column) -> Column:
     others are not looked at. Of a label that repeats the last counts.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    pieces = F.split(t, f"(?={_LABEL})")
-    at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
-    read = F.filter(F.transform(pieces, lambda p, i: _read_piece(p, at(i - 1), at(i + 1))), lambda x: x["field"].isNotNull() & x["rank"].isNotNull())
+    def read(pieces: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(pieces, i), F.lit(""))
+        return F.filter(F.transform(pieces, lambda p, i: _read_piece(p, at(i - 1), at(i + 1))), lambda x: x["field"].isNotNull() & x["rank"].isNotNull())
 
-    def taken(all_: Column) -> Column:
-        best = F.array_min(F.transform(all_, lambda x: x["rank"]))
+    def taken(y: Column) -> Column:
+        all_, best = y["all"], y["best"]
         value = lambda f: F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter(all_, lambda x: (x["rank"] == best) & (x["field"] == f)), lambda x: x["value"])), -1)
         return F.struct(*[plain_amount(value(f)).alias(f) for f in LABELS], best.isNotNull().alias("found"))
 
-    return F.transform(F.array(read), taken)[0]
+    found = _let(F.split(t, f"(?={_LABEL})"), read)
+    ranked = _let(found, lambda all_: F.struct(all_.alias("all"), F.array_min(F.transform(all_, lambda x: x["rank"])).alias("best")))
+    return _let(ranked, taken)
 
 
 def _state_code(name: Column) -> Column:
