@@ -108,3 +108,9 @@ def review_filters(view: DataFrame) -> DataFrame:
     }
     row = view.agg(*[F.count_if(c).alias(n) for n, c in filters.items()])
     return row.unpivot([], list(filters), "filter", "deals")
+
+
+def flags_with_deals(flags: DataFrame, deals: DataFrame, order: str = "updated_at") -> DataFrame:
+    """Training flags of known deals with the deals' own columns, newest first; a flag without a time comes last, ties by deal and member."""
+    known = deals.select(F.col("id").alias("deal_id"), "ext_id", "title", "source", "sub_source", "nickname", "revenue", "ebitda", "sde", "asking", "blurb")
+    return flags.join(known, "deal_id").orderBy(F.desc_nulls_last(order), "deal_id", "member")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from listingmill.operators import desk, survey
+from listingmill.operators import desk, survey, views
 from listingmill.plans import projections as p
 from listingmill.sources import sinks
 
@@ -155,3 +155,9 @@ def _maps(s, d):
     maps = sinks.catalog_maps(formats)
     e = p.spark_view(s, d, f"SELECT user_id, {p.pick('user_id', ('alerts@alpha.example', 'deals@beta.example'))} AS address, {p.pick('user_id', ('alpha.example', 'beta.example'))} AS domain FROM {{events}}")
     return e.join(maps).select("user_id", F.try_element_at("by_email", F.col("address")).alias("by_email"), F.array_join(F.try_element_at("by_domain", F.col("domain")), ",").alias("by_domain"))
+
+
+@query("flags_with_deals", f"WITH {_D}, b AS ({p.duck(_BATCH)}) SELECT b.seq, b.deal_id, b.member, b.action, d.ext_id, d.title, d.source, d.asking FROM b JOIN deals d ON d.id = b.deal_id")
+def _flag_deals(s, d):
+    flags = p.spark_view(s, d, _BATCH)
+    return views.flags_with_deals(flags, p.deals(s, d), "seq").select("seq", "deal_id", "member", "action", "ext_id", "title", "source", "asking")
