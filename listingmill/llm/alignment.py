@@ -30,8 +30,8 @@ from listingmill.llm.common import id_text, materialize
 
 #: Characters of text and rows of a block; a longer text is a block of its own.
 BLOCK_CHARS, BLOCK_ROWS = 3 << 20, 20_000
-#: Bytes of pieces that a worker remembers in each of two generations, and characters of the longest one.
-REMEMBERED, LONG = 32 << 20, 64
+#: Bytes of pieces that a task remembers in each of two generations, and characters of the longest one.
+REMEMBERED, LONG = 16 << 20, 64
 #: Characters that are tokenized at once; bytes that remembering a piece takes besides its own.
 _AT_ONCE, _ENTRY = 1 << 16, 300
 #: Where a text is cut: a single space, with a letter, digit or visible ASCII character on both sides.
@@ -139,16 +139,15 @@ class Pair:
         """The figures of different texts (``align_texts``), most of them remembered from earlier blocks."""
         if self.held > REMEMBERED:
             self.met, self.before, self.held = {}, self.met, 0
-        met, before, missing = self.met, self.before, []
+        met, before = self.met, self.before
         out = {t: met[t] for t in texts if t in met}
-        for t in texts if len(out) < len(texts) else ():
-            if t not in out:
-                found = before.get(t)
-                if found is None:
-                    missing.append(t)
-                else:
-                    out[t] = found
-                    self._remember([t], [found])
+        missing = [t for t in texts if t not in out] if len(out) < len(texts) else []
+        again = [t for t in missing if t in before]
+        if again:
+            found = [before[t] for t in again]
+            out.update(zip(again, found, strict=True))
+            self._remember(again, found)
+            missing = [t for t in missing if t not in out]
         plain = [t for t in missing if t.isalnum() or _EDGES.match(t)] if self.cuts else []
         others = list(set(missing).difference(plain))
         for some, joined in ((plain, True), (others, False)):
@@ -161,6 +160,10 @@ class Pair:
                 at = end
         return out
 
+    def forget(self) -> None:
+        """What pieces are made of is kept for a task: a worker that waits holds its tokenizers and no more."""
+        self.met, self.before, self.held = {}, {}, 0
+
     def _remember(self, texts: list[str], found: list[tuple]) -> None:
         short = {t: f for t, f in zip(texts, found, strict=True) if len(t) <= LONG}
         self.met.update(short)
@@ -221,34 +224,48 @@ def align_texts(pair: Pair, texts: list[str], joined: bool = False) -> list[tupl
 def align_block(pair: Pair, texts: list[str]) -> dict:
     """What a block's row holds of some texts: figures by text, pieces by text, links by piece, and the block's pairs."""
     cut = [pair.pieces(t) if t else [] for t in texts]
-    met = pair.aligned(list(dict.fromkeys(chain.from_iterable(cut))))
-    # where a piece does not come back byte for byte, the text as a whole decides, as one more piece
-    failed = {p for p, found in met.items() if not found[0]}
-    odd = [i for i, pieces in enumerate(cut) if len(pieces) > 1 and not failed.isdisjoint(pieces)] if failed else []
-    for i in odd:
-        cut[i] = [texts[i]]
-    met |= pair.aligned(list({texts[i] for i in odd}))
+    n_pieces = np.fromiter(map(len, cut), np.int64, len(texts))
     names = list(dict.fromkeys(chain.from_iterable(cut)))
     place = dict(zip(names, range(len(names)), strict=True))
-    columns = list(zip(*map(met.__getitem__, names), strict=True)) or [()] * 6
+    at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int32, int(n_pieces.sum()))
+    # from here on a piece is its place among the names
+    del cut, place
+    found = list(map(pair.aligned(names).__getitem__, names))
+    of_text = np.repeat(np.arange(len(texts)), n_pieces)
+    # where a piece does not come back byte for byte, the text as a whole decides, as one more piece
+    failed = np.fromiter((not f[0] for f in found), bool, len(found))
+    odd = np.unique(of_text[failed[at]])
+    odd = odd[n_pieces[odd] > 1]
+    if len(odd):
+        whole = list({texts[i] for i in odd.tolist()})
+        more = dict(zip(whole, range(len(names), len(names) + len(whole)), strict=True))
+        found += map(pair.aligned(whole).__getitem__, whole)
+        first = np.cumsum(n_pieces) - n_pieces
+        at[first[odd]] = [more[texts[i]] for i in odd.tolist()]
+        stays = ~np.isin(of_text, odd)
+        stays[first[odd]] = True
+        at, of_text = at[stays], of_text[stays]
+        # pieces that only these texts had are not linked
+        used = np.bincount(at, minlength=len(found)) > 0
+        found = [f if u else (*f[:4], b"", b"") for f, u in zip(found, used.tolist(), strict=True)]
+    columns = list(zip(*found, strict=True)) or [()] * 6
+    del found
     whole, n_a, n_b, n_groups = (np.array(c, np.int64) for c in columns[:4])
     links = np.frombuffer(b"".join(columns[4]), np.int64)
-    n_links = np.fromiter(map(len, columns[4]), np.int64, len(names)) // 8
-    written = dict(zip(names, columns[5], strict=True))
-    at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64)
-    of_text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, cut), np.int64, len(texts)))
+    n_links = np.fromiter(map(len, columns[4]), np.int64, len(whole)) // 8
     # what does not come back is now a text's only piece
     lost = whole[at] == 0
-    for i in of_text[lost].tolist():
-        cut[i] = []
-    shas = [hashlib.sha256(b";".join(map(written.__getitem__, pieces))).hexdigest() if pieces else "" for pieces in cut]
+    at, of_text = at[~lost], of_text[~lost]
+    written, ends = columns[5], np.searchsorted(of_text, np.arange(len(texts) + 1)).tolist()
+    shas = [hashlib.sha256(b";".join(map(written.__getitem__, at[s:e].tolist()))).hexdigest() if s < e else "" for s, e in zip(ends[:-1], ends[1:], strict=True)]
+    del columns, written
     # every text's different pieces and how often it has each
-    key, n = np.unique((of_text * len(names) + at)[~lost], return_counts=True)
-    of_text, word = np.divmod(key, max(len(names), 1))
+    key, n = np.unique(of_text * len(whole) + at, return_counts=True)
+    of_text, word = np.divmod(key, max(len(whole), 1))
     bounds = np.searchsorted(of_text, np.arange(len(texts) + 1))
     totals = [np.diff(np.r_[0, np.cumsum(of[word] * n)][bounds]) for of in (n_a, n_b, n_groups, n_links)]
     pairs, link = np.unique(links, return_inverse=True)
-    often = np.bincount(word, n, len(names)).astype(np.int64)
+    often = np.bincount(word, n, len(whole)).astype(np.int64)
     pair_n = np.bincount(link, np.repeat(often, n_links), len(pairs)).astype(np.int64)
     return {"n_a": totals[0], "n_b": totals[1], "n_groups": totals[2], "n_links": totals[3], "sha": shas, "bounds": bounds, "word": word, "times": n, "link_bounds": np.r_[0, np.cumsum(n_links)], "link": link, "pairs": pairs, "pair_n": pair_n}
 
@@ -293,6 +310,7 @@ def _blocks(files, block_chars: int):
                 size += len(text)
         if texts:
             yield block()
+        pair.forget()
 
     return run
 

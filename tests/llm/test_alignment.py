@@ -2,7 +2,9 @@
 
 import hashlib
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from listingmill.llm import alignment, queries
@@ -120,6 +122,17 @@ def test_cut_texts_as_whole_ones():
     assert list(cut["pairs"]) == list(whole["pairs"]) and list(cut["pair_n"]) == list(whole["pair_n"])
 
 
+def test_a_task_that_ended_leaves_no_pieces(monkeypatch):
+    """A worker outlives its task, and what it holds counts while other stages run."""
+    with open(vocabularies()[0], encoding="utf-8") as a, open(vocabularies()[1], "rb") as b:
+        files = SimpleNamespace(value=(a.read(), b.read()))
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two three", "two three four"]})
+    blocks = list(alignment._blocks(files, 10)([batch]))
+    pair = alignment._pair(files)
+    assert len(blocks) == 2 and not pair.met and not pair.before and not pair.held
+
+
 def test_long_text(spark):
     text = "Überlange Texte, words and 12345 numbers\n" * 20000
     docs = spark.createDataFrame([(1, text), (2, text + "x")], "doc_id long, text string")
