@@ -7,7 +7,7 @@ two tokens' characters would keep both. That one token is stored for every prefi
 the stored tokens back from the end gives the ids. (See the linear-time BPE literature; the
 proof that the last token is unique rests on merges being applied in the order of their rank.)
 
-Pieces recur, so each Python worker keeps the ids of those it has met lately, in two generations
+Pieces recur, so each task keeps the ids of those it has met lately, in two generations
 of bounded size: when the younger is full it becomes the older, whose pieces return to the younger
 where they are met again, so frequent ones stay. New pieces are taken in sorted order: they
 begin like the one before and share its prefixes. No piece holds white space, so a long text is
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterable
 from struct import pack
 
 import numpy as np
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame
 from listingmill.llm.common import id_text
 
 #: Bytes of one generation of remembered pieces, about, and pairs of tokens before they are forgotten.
-REMEMBERED, PAIRS = 48 << 20, 200_000
+REMEMBERED, PAIRS = 16 << 20, 200_000
 #: Steps of the automaton that are stored; others are found through failure links.
 STEPS = 300_000
 #: Bytes that a remembered piece takes beside its own characters and ids.
 _ENTRY = 200
-#: Characters of text that are taken at once, about.
-_AT_ONCE = 1 << 20
+#: Characters of text that are taken at once, about, and texts that are taken out of a batch at once.
+_AT_ONCE, _TEXTS = 1 << 20, 256
 #: Where all characters of a text are below U+0250, these classes hold what the properties do.
 _LATIN = ((r"\p{L}", "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"), (r"\p{N}", "0-9\xb2\xb3\xb9\xbc-\xbe"), (r"\s", "\t-\r \x85\xa0"))
 
@@ -268,7 +269,11 @@ class Tokenizer:
             self.met_bytes += sum(map(len, more)) + sum(map(len, more.values())) + _ENTRY * len(more)
         return met
 
-    def encode_all(self, texts: list[str]):
+    def forget(self) -> None:
+        """Ids of pieces are kept for a task: a worker that waits holds its tokenizer and no more."""
+        self.met, self.met_before, self.met_bytes = {}, {}, 0
+
+    def encode_all(self, texts: Iterable[str]):
         """Ids of each text in turn, a bounded number of characters at a time."""
         held, size = [], 0
         for text in texts:
@@ -329,20 +334,17 @@ def _share(spark, vocabulary: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every row, and their ``decoded`` text if asked for.
+def _texts(array: pa.Array):
+    for at in range(0, len(array), _TEXTS):
+        yield from array.slice(at, _TEXTS).to_pylist()
 
-    ``vocabulary`` is the path of the file on the driver. Defined cases: a null text has no
-    tokens; a text of any length is encoded whole; repeated rows and null ids each get a
-    result; other columns, of any name, are not read; an empty table gives an empty result.
-    """
-    spec = _share(docs.sparkSession, vocabulary)
 
+def _encoded(spec, decoded: bool):
     def run(batches):
         tok = _tokenizer(spec)
         for batch in batches:
             start, held, size = 0, [], 0
-            for i, ids in enumerate(tok.encode_all(batch.column(1).to_pylist())):
+            for i, ids in enumerate(tok.encode_all(_texts(batch.column(1)))):
                 held.append(ids)
                 size += len(ids)
                 if size > _AT_ONCE or i == batch.num_rows - 1:
@@ -350,8 +352,20 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     cols += [tok.decode_batch(held).cast(pa.string())] if decoded else []
                     yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids", "decoded"][: len(cols)])
                     start, held, size = i + 1, [], 0
+        tok.forget()
+
+    return run
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of every row, and their ``decoded`` text if asked for.
+
+    ``vocabulary`` is the path of the file on the driver. Defined cases: a null text has no
+    tokens; a text of any length is encoded whole; repeated rows and null ids each get a
+    result; other columns, of any name, are not read; an empty table gives an empty result.
+    """
+    spec = _share(docs.sparkSession, vocabulary)
+    return id_text(docs, id_col, text_col).mapInArrow(_encoded(spec, decoded), "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

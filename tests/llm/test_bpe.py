@@ -1,7 +1,9 @@
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from listingmill.llm import bpe, queries
@@ -40,6 +42,18 @@ def test_memory_bound_changes_nothing(both, monkeypatch):
         assert own.met_bytes <= bound + 30 * 300  # one text more than the bound at most
 
 
+def test_a_task_that_ended_leaves_no_pieces(both, monkeypatch):
+    """A worker outlives its task, and what it holds counts while other stages run."""
+    own, _ = both
+    monkeypatch.setattr(bpe, "_TEXTS", 2)
+    spec = SimpleNamespace(value=own.spec)
+    texts = ["one two", "", "three", "two one", "four"]
+    (rows,) = bpe._encoded(spec, True)([pa.RecordBatch.from_pydict({"doc_id": list(range(5)), "text": texts})])
+    assert rows.column("ids").to_pylist() == own.encode_batch(texts)
+    tok = bpe._tokenizer(spec)
+    assert not tok.met and not tok.met_before and not tok.met_bytes
+
+
 def test_long_texts_are_cut_at_spaces(both, monkeypatch):
     own, library = both
     monkeypatch.setattr(bpe, "_AT_ONCE", 50)
