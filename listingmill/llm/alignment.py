@@ -9,7 +9,8 @@ visible characters (checked when they are loaded), so a text is cut there into p
 each different piece of a block is tokenized, linked and grouped once. A block is written as one row: what
 its texts are made of, and how often each pair of ids is linked in it. Pairs are summed over the
 blocks with Spark, each block gets back the counts of its own pairs, and its texts' figures follow.
-A pair is shuffled once a block and not once a link, however often it occurs.
+A pair is shuffled once a block and not once a link, however often it occurs. There are few different pairs beside the texts, so
+their counts go to the blocks, which stay where they are; only beyond a bound are both shuffled.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 
 from listingmill.llm.common import id_text, materialize
 
-#: Characters of text and rows of a block; a longer text is a block of its own.
-BLOCK_CHARS, BLOCK_ROWS = 3 << 20, 20_000
+#: Characters of text and rows of a block; a longer text is a block of its own. Blocks that are written, and read again, at once.
+BLOCK_CHARS, BLOCK_ROWS, AT_ONCE = 2 << 20, 20_000, 2
+#: Different pairs whose counts are sent to every worker, 17 bytes each; more of them are shuffled to the blocks.
+SENT_PAIRS = 1_000_000
 #: Bytes of pieces that a task remembers in each of two generations, and characters of the longest one.
 REMEMBERED, LONG = 16 << 20, 64
 #: Characters that are tokenized at once; bytes that remembering a piece takes besides its own.
@@ -315,23 +318,37 @@ def _blocks(files, block_chars: int):
     return run
 
 
-def _figures(batches):
-    """The rows of texts of every block, from the block's row and the counts of its pairs, each with its place."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            row = {name: batch.column(name)[at] for name in batch.schema.names}
-            get = {c: row[c].values.to_numpy(zero_copy_only=False) for c in ("bounds", "word", "times", "link_bounds", "link", "pairs")}
-            count, best = np.zeros(len(get["pairs"]), np.int64), np.zeros(len(get["pairs"]), np.int64)
-            found = row["found"].values
-            if found is not None:
-                place = found.field("place").to_numpy()
-                count[place], best[place] = found.field("count").to_numpy(), found.field("best").to_numpy(zero_copy_only=False)
-            sums = []
-            for of in (best, count):
-                by_piece = np.diff(np.r_[0, np.cumsum(of[get["link"]])][get["link_bounds"]])
-                sums.append(np.diff(np.r_[0, np.cumsum(by_piece[get["word"]] * get["times"])][get["bounds"]]))
-            cols = [row[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [pa.array(s) for s in sums] + [row["sha"].values]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+def _figures(sent=None):
+    """The rows of texts of every block, from the block's row and the counts of its pairs: those ``sent`` (pairs in order, counts, which are best), or its own, each with its place."""
+
+    def counted(pairs: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
+        if sent is not None:
+            every, often, most = sent.value
+            at = np.searchsorted(every, pairs)
+            return often[at], most[at].astype(np.int64)
+        count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+        if found.values is not None:
+            place = found.values.field("place").to_numpy()
+            count[place], best[place] = found.values.field("count").to_numpy(), found.values.field("best").to_numpy(zero_copy_only=False)
+        return count, best
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at] for name in batch.schema.names}
+                get = {c: row[c].values.to_numpy(zero_copy_only=False) for c in ("bounds", "word", "times", "link_bounds", "link", "pairs")}
+                count, best = counted(get["pairs"], row.get("found"))
+                sums = []
+                for of in (best, count):
+                    by_piece = np.diff(np.r_[0, np.cumsum(of[get["link"]])][get["link_bounds"]])
+                    sums.append(np.diff(np.r_[0, np.cumsum(by_piece[get["word"]] * get["times"])][get["bounds"]]))
+                cols = [row[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [pa.array(s) for s in sums] + [row["sha"].values]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    return run
+
+
+_FIGURES_SQL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -353,14 +370,18 @@ def align(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     with open(byte_level, encoding="utf-8") as a, open(pieces, "rb") as b:
         files = spark.sparkContext.broadcast((a.read(), b.read()))
-    blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_blocks(files, block_chars), _BLOCK_SQL), "aligned-blocks")
+    blocks = materialize(id_text(docs, id_col, text_col).mapInArrow(_blocks(files, block_chars), _BLOCK_SQL), "aligned-blocks", {"parquet.block.row.count.limit": str(AT_ONCE)})
     counts = materialize(pair_counts(blocks), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit((1 << _B_BITS) - 1).cast("long"))
     # a row for each id of B at most, so its vocabulary bounds what is broadcast
     most = materialize(counts.groupBy(b_id.alias("b")).agg(F.max("count").alias("most")), "best-counts")
     ranked = counts.withColumn("b", b_id).join(F.broadcast(most), "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+    if counts.count() <= SENT_PAIRS:
+        table = ranked.toArrow()
+        order = np.argsort(table["pair"].to_numpy())
+        sent = spark.sparkContext.broadcast(tuple(table[c].to_numpy()[order] for c in ("pair", "count", "best")))
+        return blocks.drop("block", "pair_n").mapInArrow(_figures(sent), _FIGURES_SQL)
     own = blocks.select("block", F.posexplode("pairs").alias("place", "pair")).join(ranked, "pair")
     # no more rows a block than it has pairs of its own
     found = own.groupBy("block").agg(F.collect_list(F.struct("place", "count", "best")).alias("found"))
-    rows = blocks.drop("pair_n").join(found, "block", "left")
-    return rows.mapInArrow(_figures, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return blocks.drop("pair_n").join(found, "block", "left").mapInArrow(_figures(), _FIGURES_SQL)
